@@ -68,12 +68,18 @@ def _report_queries() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
+    from shiprisk import registry_pipeline
+
     out: dict[str, Query] = {}
     out.update(_report_queries())
+    out.update(registry_pipeline.queries())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
+    from shiprisk.checks import oracle_pipeline
+
     out: dict[str, str] = {}
     out.update(O.reports())
+    out.update(oracle_pipeline.pipeline(testbed.FLAT_TYPES, {}))
     return {k: v for k, v in out.items() if k in queries()}

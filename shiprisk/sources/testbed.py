@@ -304,3 +304,27 @@ t_items_s as ({sel(['order_item_id', 'order_item_cardprod_id', 'order_item_quant
 t_order_items as ({proj('order_items', f'(select *, {item_derived} from t_items_s)')}),
 t_ship_s as ({sel(['order_item_id', 'shipping_date', 'shipping_mode', 'days_for_shipping_real', 'days_for_shipment_scheduled'], 'lineitem join orders on l_orderkey = o_orderkey')}),
 t_shipments as ({proj('shipments', f'(select *, {ship_derived} from t_ship_s)')})"""
+
+
+# Declared Spark types of the test-bed flat table (its schema contract; the
+# profile audit reports these and the oracle expects them).
+FLAT_TYPES = {
+    "type": "string", "days_for_shipping_real": "int", "days_for_shipment_scheduled": "int",
+    "benefit_per_order": "decimal(10,2)", "sales_per_customer": "decimal(10,2)",
+    "delivery_status": "string", "late_delivery_risk": "int", "category_id": "string",
+    "category_name": "string", "customer_city": "string", "customer_country": "string",
+    "customer_id": "bigint", "customer_segment": "string", "customer_state": "string",
+    "customer_zipcode": "int", "department_id": "int", "department_name": "string",
+    "latitude": "decimal(10,6)", "longitude": "decimal(10,6)", "market": "string",
+    "order_city": "string", "order_country": "string", "order_customer_id": "bigint",
+    "order_date": "timestamp_ntz", "order_id": "bigint", "order_item_cardprod_id": "bigint",
+    "order_item_discount": "decimal(10,2)", "order_item_discount_rate": "decimal(6,4)",
+    "order_item_id": "string", "order_item_product_price": "decimal(10,2)",
+    "order_item_profit_ratio": "decimal(10,4)", "order_item_quantity": "int",
+    "sales": "decimal(10,2)", "order_item_total": "decimal(10,2)",
+    "order_profit_per_order": "decimal(10,2)", "order_region": "string", "order_state": "string",
+    "order_status": "string", "product_card_id": "bigint", "product_category_id": "string",
+    "product_name": "string", "product_price": "decimal(10,2)", "product_status": "int",
+    "shipping_date": "timestamp_ntz", "shipping_mode": "string", "order_zipcode": "string",
+    "delay_days": "int",
+}
