@@ -73,6 +73,9 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_report_queries())
     out.update(registry_pipeline.queries())
+    from shiprisk import registry_ml
+
+    out.update(registry_ml.queries())
     return out
 
 
@@ -82,4 +85,7 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(O.reports())
     out.update(oracle_pipeline.pipeline(testbed.FLAT_TYPES, {}))
+    from shiprisk.checks import oracle_ml
+
+    out.update(oracle_ml.ml())
     return {k: v for k, v in out.items() if k in queries()}
