@@ -73,3 +73,44 @@ from (select s, pos, neg, coalesce(sum(neg) over (order by s rows between unboun
       from (select score as s, count(case when label = 1 then 1 end) as pos,
                    count(case when label = 0 then 1 end) as neg from rule group by 1))""")
     return out
+
+
+STATEMENTS = r"""
+select event_id, event_type,
+  case when event_type = 'view' then 'SELECT shipping_mode, count(*) FROM shipments WHERE late_delivery_risk = '
+                                     || cast(user_id % 2 as varchar) || ' GROUP BY shipping_mode'
+       when event_type = 'click' then '```sql' || chr(10) || '  select * from order_items where order_id = '
+                                     || cast(user_id as varchar) || chr(10) || '```'
+       when event_type = 'purchase' then '  select sales from order_items where order_id = ' || cast(event_id as varchar) || ';;  '
+       when event_type = 'error' then 'select 1; drop table shipments -- ' || cast(event_id as varchar)
+       when event_type = 'signup' then 'with c as (select * from customers) select * from c where customer_id = ' || cast(user_id as varchar)
+       else 'SELECT ''please delete '' || order_status FROM orders LIMIT ' || cast(user_id as varchar) end as raw_text
+from events"""
+
+EXTRACT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  raw_text, '^\s+|\s+$', '', 'g'), '(?i)^```(sql)?', ''), '^\s+|\s+$', '', 'g'), '```$', ''), '^\s+|\s+$', '', 'g')"""
+
+FORBIDDEN = ("(?i)\\b(insert|update|delete|drop|alter|truncate|attach|detach|pragma|create|replace"
+             "|grant|revoke)\\b")
+
+
+def guard() -> dict[str, str]:
+    verdict = (f"case when not starts_with(lower(regexp_replace(sql_text, '^\\s+', '')), 'select') "
+               f"then 'not_select' "
+               f"when contains(regexp_replace(regexp_replace(sql_text, '^\\s+|\\s+$', '', 'g'), ';+$', ''), ';') "
+               f"then 'multiple_statements' "
+               f"when regexp_matches(sql_text, '{FORBIDDEN}') then 'forbidden_keyword' else 'ok' end")
+    base = f"with st as ({STATEMENTS}), ex as (select event_id, {EXTRACT} as sql_text from st)"
+    guarded = f"""with {duckdb_ctes()}
+select p.product_name, s.shipping_mode, count(*) as total_shipments,
+       cast(sum(s.late_delivery_risk) as bigint) as late_shipments
+from t_order_items oi join t_products p on oi.product_card_id = p.product_card_id
+join t_shipments s on oi.order_item_id = s.order_item_id
+group by p.product_name, s.shipping_mode"""
+    return {
+        "extract_sql": f"{base} select * from ex",
+        "guard_verdict": f"{base} select event_id, {verdict} as verdict from ex",
+        "guarded_sql": guarded,
+        "preview": f"select * from ({guarded}) order by product_name nulls first, "
+                   f"shipping_mode nulls first, total_shipments nulls first, late_shipments nulls first limit 30",
+    }

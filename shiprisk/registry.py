@@ -76,6 +76,7 @@ def queries() -> dict[str, Query]:
     from shiprisk import registry_ml
 
     out.update(registry_ml.queries())
+    out.update(registry_ml.guard_queries())
     return out
 
 
@@ -88,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
     from shiprisk.checks import oracle_ml
 
     out.update(oracle_ml.ml())
+    out.update(oracle_ml.guard())
     return {k: v for k, v in out.items() if k in queries()}

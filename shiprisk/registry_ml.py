@@ -114,3 +114,58 @@ def queries() -> dict:
         "model_comparison": model_comparison,
         "model_roundtrip": model_roundtrip,
     }
+
+
+# ------------------------------------------------------------ guarded SQL
+
+def _statements(s, d):
+    from shiprisk.operators import sqlguard
+
+    apply_defaults(s)
+    return sqlguard.statement_log(s.read.parquet(f"{d}/events.parquet"))
+
+
+def extract_sql(s, d):
+    from shiprisk.operators import sqlguard
+
+    return _statements(s, d).select("event_id", sqlguard.extract_sql("raw_text").alias("sql_text"))
+
+
+def guard_verdict(s, d):
+    from shiprisk.operators import sqlguard
+
+    return _statements(s, d).select(
+        "event_id", sqlguard.guard_verdict(sqlguard.extract_sql("raw_text")).alias("verdict"))
+
+
+GUARDED_EXAMPLE = """```sql
+SELECT p.product_name, s.shipping_mode, count(*) AS total_shipments,
+       sum(s.late_delivery_risk) AS late_shipments
+FROM order_items oi
+JOIN products p ON oi.product_card_id = p.product_card_id
+JOIN shipments s ON oi.order_item_id = s.order_item_id
+GROUP BY p.product_name, s.shipping_mode;
+```"""
+
+
+def _guarded(s, d):
+    from shiprisk.operators import sqlguard
+
+    apply_defaults(s)
+    t = testbed.tables(s, d, with_flat=False)
+    return sqlguard.run_guarded(s, GUARDED_EXAMPLE, t.as_dict())
+
+
+def guarded_sql(s, d):
+    return _guarded(s, d)
+
+
+def preview(s, d):
+    from shiprisk.operators import sqlguard
+
+    return sqlguard.preview(_guarded(s, d))
+
+
+def guard_queries() -> dict:
+    return {"extract_sql": extract_sql, "guard_verdict": guard_verdict,
+            "guarded_sql": guarded_sql, "preview": preview}
