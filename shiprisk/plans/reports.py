@@ -275,18 +275,35 @@ def category_rate_top15(flat: DataFrame, k: int = config.TOP_CATEGORIES) -> Data
 def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of numeric columns, long form, 2 decimals.
 
-    All pairs are computed in one aggregate pass (one partial aggregate per
-    task, no shuffle of rows).
+    One aggregate pass collects n, the column sums and the cross-product
+    sums of each unordered pair (k + k(k+1)/2 + 1 plain sums: a small,
+    code-generated aggregation buffer, unlike one ``corr`` state per cell);
+    the k x k matrix is then formed from those moments in a projection.
+    Zero variance gives NULL.
     """
     from shiprisk.schemas import CORRELATION_COLUMNS
 
     cols = columns or CORRELATION_COLUMNS
-    casted = flat.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = [(a, b) for a in cols for b in cols]
-    wide = casted.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', `{i}`" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) as (column_x, column_y, corr_raw)") \
-        .select("column_x", "column_y", F.round("corr_raw", 2).alias("correlation"))
+    x = {c: F.col(c).cast("double") for c in cols}
+    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
+    aggs += [F.sum(x[c]).alias(f"s_{i}") for i, c in enumerate(cols)]
+    for i, a in enumerate(cols):
+        for j in range(i, len(cols)):
+            aggs.append(F.sum(x[a] * x[cols[j]]).alias(f"p_{i}_{j}"))
+    moments = flat.select(*cols).agg(*aggs)
+
+    def cov(i: int, j: int):
+        lo, hi = min(i, j), max(i, j)
+        return F.col("n") * F.col(f"p_{lo}_{hi}") - F.col(f"s_{i}") * F.col(f"s_{j}")
+
+    cells = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            denom = F.sqrt(cov(i, i) * cov(j, j))
+            r = F.when(denom > 0, cov(i, j) / denom)
+            cells.append(F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
+                                  F.round(r, 2).alias("correlation")))
+    return moments.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def kpi_summary(flat: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from shiprisk import config
 from shiprisk.checks import oracle as O
 from shiprisk.plans import gold, reports
 from shiprisk.session import apply_defaults
-from shiprisk.sources import testbed
+from shiprisk.sources import silver, testbed
 
 CUTOFF = config.TESTBED_CUTOFF
 
@@ -22,13 +22,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _tables(spark: SparkSession, sf_dir: str):
+    """The persisted silver tables (written once per application)."""
     apply_defaults(spark)
-    return testbed.tables(spark, sf_dir)
+    return silver.testbed_silver(spark, sf_dir)
 
 
 def _flat(spark: SparkSession, sf_dir: str):
-    apply_defaults(spark)
-    return testbed.flat(spark, sf_dir)
+    return _tables(spark, sf_dir).flat
 
 
 def _report_queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shiprisk.ml import evaluate, features, split, train
 from shiprisk.session import apply_defaults, work_dir
-from shiprisk.sources import testbed
+from shiprisk.sources import silver, testbed
 
 # Smoke-size forests for the registered jobs; the library default is 200 x 12.
 SMOKE_TREES, SMOKE_DEPTH = 20, 6
@@ -16,7 +16,7 @@ SMOKE_TREES, SMOKE_DEPTH = 20, 6
 
 def _features(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    return features.delivery_features(testbed.flat(s, d))
+    return features.delivery_features(silver.testbed_silver(s, d).flat)
 
 
 def _split(s: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,7 @@ def _guarded(s, d):
     from shiprisk.operators import sqlguard
 
     apply_defaults(s)
-    t = testbed.tables(s, d, with_flat=False)
+    t = silver.testbed_silver(s, d).relational()
     return sqlguard.run_guarded(s, GUARDED_EXAMPLE, t.as_dict())
 
 

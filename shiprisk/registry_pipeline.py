@@ -14,7 +14,7 @@ from shiprisk.schemas import (
     INT_COLUMNS, NUMERIC_COLUMNS, PII_COLUMNS, RAW_HEADERS, TABLE_COLUMNS, contract,
 )
 from shiprisk.session import apply_defaults, work_dir
-from shiprisk.sources import csv_io, testbed
+from shiprisk.sources import csv_io, silver, testbed
 from shiprisk.sources.snapshots import SnapshotStore
 from shiprisk import config
 
@@ -124,7 +124,7 @@ def _dim(table: str):
 
 def profile_columns(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    return audit.profile_columns(testbed.flat(s, d))
+    return audit.profile_columns(silver.testbed_silver(s, d).flat)
 
 
 def null_counts(s: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ def duplicate_row_count(s: SparkSession, d: str) -> DataFrame:
 
 def table_row_counts(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    return audit.table_row_counts(testbed.tables(s, d, with_flat=False).as_dict())
+    return audit.table_row_counts(_rel(s, d).as_dict())
 
 
 def pk_violations(s: SparkSession, d: str) -> DataFrame:
@@ -153,12 +153,12 @@ def pk_violations(s: SparkSession, d: str) -> DataFrame:
 
 def fk_orphans(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    return audit.fk_report(testbed.tables(s, d, with_flat=False))
+    return audit.fk_report(_rel(s, d))
 
 
 def reconcile_flat_vs_relational(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    t = testbed.tables(s, d)
+    t = silver.testbed_silver(s, d)
 
     def by_mode_market(df: DataFrame) -> DataFrame:
         return df.groupBy("shipping_mode", "market").agg(
@@ -172,8 +172,9 @@ def reconcile_flat_vs_relational(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rel(s: SparkSession, d: str) -> SupplyTables:
+    """Relational silver tables without the flat shortcut."""
     apply_defaults(s)
-    return testbed.tables(s, d, with_flat=False)
+    return silver.testbed_silver(s, d).relational()
 
 
 JOIN_COLUMNS = {
@@ -207,7 +208,7 @@ def _join(name: str):
 def save_table_roundtrip(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
     store = SnapshotStore(s, work_dir(s, "tables"))
-    store.save(gold.gold_shipping_risk(testbed.flat(s, d)), "gold_shipping_risk")
+    store.save(gold.gold_shipping_risk(silver.testbed_silver(s, d).flat), "gold_shipping_risk")
     return store.read("gold_shipping_risk")
 
 
@@ -216,7 +217,7 @@ def table_history(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
     store = SnapshotStore(s, work_dir(s, "tables"))
     for _ in range(2):
-        store.save(gold.gold_shipping_risk(testbed.flat(s, d)), "gold_shipping_risk")
+        store.save(gold.gold_shipping_risk(silver.testbed_silver(s, d).flat), "gold_shipping_risk")
     return store.history("gold_shipping_risk").select("version", "operation", "n_rows")
 
 
@@ -224,7 +225,7 @@ def read_version(s: SparkSession, d: str) -> DataFrame:
     """Version 0 (before-cutoff revenue) stays readable after an overwrite."""
     apply_defaults(s)
     store = SnapshotStore(s, work_dir(s, "tables"))
-    flat = testbed.flat(s, d)
+    flat = silver.testbed_silver(s, d).flat
     store.save(gold.gold_monthly_revenue_by_market(flat, CUTOFF), "gold_monthly_revenue")
     store.save(gold.gold_monthly_revenue_by_market(flat, "9999-01-01"), "gold_monthly_revenue")
     return store.read("gold_monthly_revenue", version=0)
