@@ -21,8 +21,10 @@ class SupplyTables:
 
     ``flat`` is the silver flat table (one row per order item) when the six
     tables are its projections.  Item-grain star views are then read straight
-    from it instead of re-joining the 1:1 item/shipment pair; this holds
-    under the primary-key contract that the audits check.
+    from it instead of re-joining the 1:1 item/shipment pair.  This equals
+    the joins under the key contract: unique keys, every item shipped, no
+    orphan foreign keys -- what ``pk_violations`` / ``fk_orphans`` audit.
+    ``relational()`` gives the join path when that is not guaranteed.
     """
 
     categories: DataFrame

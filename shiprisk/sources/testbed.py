@@ -100,9 +100,11 @@ def stage2(dialect: str = "spark") -> dict[str, str]:
     profit = "cast(sales - order_item_product_price * order_item_quantity as decimal(10,2))"
     discount = "cast(round(sales * order_item_discount_rate, 2) as decimal(10,2))"
     p_c, s_c = f"cast({profit} * 100 as bigint)", "cast(sales * 100 as bigint)"
+    # profit / sales rounded half-up to 4 places with long arithmetic on
+    # cents; the quotient fits DECIMAL(10,0), so the scaling stays compact.
     ratio = (
         f"case when {s_c} = 0 then null else cast(cast((case when {p_c} < 0 then -1 else 1 end) * "
-        f"((20000 * abs({p_c}) + {s_c}) {div} (2 * {s_c})) as decimal(18,0)) * 0.0001 as decimal(10,4)) end"
+        f"((20000 * abs({p_c}) + {s_c}) {div} (2 * {s_c})) as decimal(10,0)) * 0.0001 as decimal(10,4)) end"
     )
     return {
         "benefit_per_order": profit,

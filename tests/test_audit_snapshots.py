@@ -1,0 +1,60 @@
+from shiprisk.model import SupplyTables
+from shiprisk.operators import audit
+from shiprisk.schemas import contract
+from shiprisk.sources.snapshots import SnapshotStore
+
+from fixtures import tables
+
+
+def test_fk_report_finds_orphans_and_childless(spark):
+    got = {r.relation: (r.orphan_rows, r.childless_parents) for r in audit.fk_report(tables(spark)).collect()}
+    assert got["products.category_id -> categories.category_id"] == (1, 0)
+    assert got["order_items.order_id -> orders.order_id"] == (0, 1)   # order 3 has no lines
+    assert got["shipments.order_item_id -> order_items.order_item_id"] == (0, 1)  # item 99
+
+
+def test_pk_report(spark):
+    t = tables(spark)
+    doubled = SupplyTables(t.categories.unionByName(t.categories.limit(1)), t.products, t.customers,
+                           t.orders, t.order_items, t.shipments)
+    got = {r.table_name: (r.duplicated_keys, r.excess_rows) for r in audit.pk_report(doubled).collect()}
+    assert got["categories"] == (1, 1) and got["orders"] == (0, 0)
+
+
+def test_profile_nulls_duplicates(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
+    prof = {r.column_name: (r.data_type, r.non_null_count, r.row_count) for r in audit.profile_columns(df).collect()}
+    assert prof == {"a": ("int", 3, 3), "b": ("string", 1, 3)}
+    assert [tuple(r) for r in audit.null_counts(df).collect()] == [("b", 2)]
+    assert audit.null_total(df).collect()[0][0] == 2
+    d = audit.duplicate_row_count(df).collect()[0]
+    assert (d.n_rows, d.n_distinct, d.duplicate_rows) == (3, 2, 1)
+
+
+def test_conform_counts_violations(spark):
+    df = spark.createDataFrame([("1", "Tech", "10", "D"), ("x", "Toys", "20", "K"), (None, "A", "3", "B")],
+                               "category_id string, category_name string, department_id string, department_name string")
+    good, bad = audit.conform(df, contract("categories"))
+    counts = {(r.column_name, r.reason): r.n_rows for r in bad.collect()}
+    assert counts[("category_id", "bad_cast")] == 1 and counts[("category_id", "null_in_not_null")] == 1
+    assert good.count() == 1 and dict(good.dtypes)["category_id"] == "int"
+
+
+def test_reconcile(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int")
+    b = spark.createDataFrame([("x", 1), ("z", 2)], "k string, v int")
+    got = {r.k: r.matches for r in audit.reconcile(a, b, ["k"], ["v"]).collect()}
+    assert got == {"x": True, "y": False, "z": False}
+
+
+def test_snapshot_versions(spark, tmp_root):
+    store = SnapshotStore(spark, tmp_root)
+    assert store.save(spark.range(5), "t") == 5
+    assert store.save(spark.range(7).selectExpr("id", "id * 2 as twice"), "t") == 7
+    hist = store.history("t").orderBy("version").collect()
+    assert [(h.version, h.n_rows) for h in hist] == [(0, 5), (1, 7)]
+    assert store.read("t").columns == ["id", "twice"]
+    assert store.read("t", version=0).count() == 5
+    import pytest
+    with pytest.raises(ValueError):
+        store.read("t", version=9)
