@@ -309,25 +309,19 @@ def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def kpi_summary(flat: DataFrame) -> DataFrame:
     """K1: total orders, revenue, overall late rate, busiest shipping mode.
 
-    Per-mode totals are a tiny aggregate; the busiest mode (ties by name)
-    and grand totals come from it in a second, single-row aggregate.  The
-    distinct order count is its own global aggregate; the two single-row
-    results are joined on a constant key.
+    One aggregate: the distinct order count is planned as Spark's distinct
+    aggregate rewrite, and the busiest mode is the deterministic statistical
+    mode (most shipments, ties to the smallest name), whose state holds one
+    counter per distinct mode.
     """
-    by_mode = flat.groupBy("shipping_mode").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("late_delivery_risk").cast("bigint").alias("late"),
-        F.sum("sales").alias("revenue"),
-    )
-    totals = by_mode.agg(
-        F.sum("n").alias("total_shipments"),
-        F.sum("late").alias("late_shipments"),
-        money(F.sum("revenue")).alias("total_revenue"),
-        F.min_by("shipping_mode", F.struct(-F.col("n"), F.col("shipping_mode"))).alias("top_shipping_mode"),
-    ).withColumn("_k", F.lit(1))
-    orders = flat.agg(F.countDistinct("order_id").alias("total_orders")).withColumn("_k", F.lit(1))
     return (
-        orders.join(totals, "_k")
+        flat.agg(
+            F.countDistinct("order_id").alias("total_orders"),
+            money(F.sum("sales")).alias("total_revenue"),
+            F.count(F.lit(1)).alias("total_shipments"),
+            F.sum("late_delivery_risk").cast("bigint").alias("late_shipments"),
+            F.mode("shipping_mode", deterministic=True).alias("top_shipping_mode"),
+        )
         .select("total_orders", "total_revenue", "total_shipments",
                 rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"),
                 "top_shipping_mode")

@@ -73,6 +73,7 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_report_queries())
     out.update(registry_pipeline.queries())
+    out.update(registry_pipeline.streaming_queries())
     from shiprisk import registry_ml
 
     out.update(registry_ml.queries())
@@ -90,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
 
     out.update(oracle_ml.ml())
     out.update(oracle_ml.guard())
+    out["incremental_gold_shipping_risk"] = out["gold_shipping_risk"]
     return {k: v for k, v in out.items() if k in queries()}

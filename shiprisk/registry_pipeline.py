@@ -316,3 +316,22 @@ def queries() -> dict:
 
 
 __all__ = ["queries", "edge", "PII_COLUMNS"]
+
+
+def incremental_gold_shipping_risk(s: SparkSession, d: str) -> DataFrame:
+    """Raw files streamed in a few at a time; the last gold version must
+    equal the batch gold table."""
+    from shiprisk.streaming import incremental
+
+    raw = _raw(s, d)
+    root = work_dir(s, "stream")
+    csv_io.write_raw_csv(raw.repartition(4), f"{root}/incoming")
+    types = {f.name: f.dataType for f in raw.schema.fields
+             if not isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
+    store = SnapshotStore(s, f"{root}/tables")
+    incremental.run_gold_refresh(s, f"{root}/incoming", store, f"{root}/checkpoint", types, BRONZE_TS)
+    return store.read("gold_shipping_risk")
+
+
+def streaming_queries() -> dict:
+    return {"incremental_gold_shipping_risk": incremental_gold_shipping_risk}
