@@ -20,7 +20,10 @@ from shiprisk.schemas import TABLE_NAMES
 from shiprisk.session import work_dir
 from shiprisk.sources import testbed
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+# (application id, source dir) -> silver tables.  The values are lazy
+# DataFrame handles over the written files (no data is cached); keeping them
+# avoids re-listing the folders and re-reading Parquet footers per query.
+_WRITTEN: dict[tuple[str, str], SupplyTables] = {}
 
 
 def write_silver(flat: DataFrame, tables: SupplyTables, root: str) -> str:
@@ -48,5 +51,5 @@ def testbed_silver(spark: SparkSession, sf_dir: str) -> SupplyTables:
     """Silver tables of ``sf_dir``, written on first use in this application."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _WRITTEN:
-        _WRITTEN[key] = build_testbed_silver(spark, sf_dir)
-    return read_silver(spark, _WRITTEN[key])
+        _WRITTEN[key] = read_silver(spark, build_testbed_silver(spark, sf_dir))
+    return _WRITTEN[key]

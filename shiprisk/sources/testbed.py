@@ -160,8 +160,27 @@ def flat_select(dialect: str = "spark") -> list[str]:
     return out
 
 
+# Fact-size sources and the key they are joined on.
+_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a fact source by its join key when its scan cannot
+    use the cluster (fewer splits than cores, e.g. one file with a single
+    row group).  Large inputs already scan in many splits and are left as
+    they are: the join then shuffles them once, as it must anyway."""
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def load_sources(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    out = {}
+    for n in names:
+        df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        out[n] = _spread(spark, df, _SPREAD_KEYS[n]) if n in _SPREAD_KEYS else df
+    return out
 
 
 def _joined(src: dict[str, DataFrame]) -> DataFrame:
