@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shiprisk import config
 from shiprisk.checks import oracle as O
-from shiprisk.plans import gold, reports
+from shiprisk.plans import gold, questions, reports
 from shiprisk.session import apply_defaults
 from shiprisk.sources import silver, testbed
 
@@ -64,6 +64,7 @@ def _report_queries() -> dict[str, Query]:
         "monthly_volume_check": lambda s, d: reports.monthly_volume_check(T(s, d)),
         "price_anomaly_months": lambda s, d: reports.price_anomaly_months(T(s, d)),
         "calendar_features": lambda s, d: reports.calendar_features(T(s, d).orders),
+        "worst_on_time_category": lambda s, d: questions.worst_on_time_category(T(s, d)),
     }
 
 

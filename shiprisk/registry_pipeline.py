@@ -11,7 +11,7 @@ from shiprisk.operators import audit, clean
 from shiprisk.operators.normalize import normalize
 from shiprisk.plans import gold
 from shiprisk.schemas import (
-    INT_COLUMNS, NUMERIC_COLUMNS, PII_COLUMNS, RAW_HEADERS, TABLE_COLUMNS, contract,
+    INT_COLUMNS, NUMERIC_COLUMNS, PII_COLUMNS, PRIMARY_KEYS, RAW_HEADERS, TABLE_COLUMNS, contract,
 )
 from shiprisk.session import apply_defaults, work_dir
 from shiprisk.sources import csv_io, silver, testbed
@@ -147,8 +147,8 @@ def table_row_counts(s: SparkSession, d: str) -> DataFrame:
 def pk_violations(s: SparkSession, d: str) -> DataFrame:
     """Keys of the six tables projected from the raw rows, before any dedupe."""
     filled = clean.fill_nulls(_raw(s, d))
-    parts = {t: clean.project_rename(filled, pairs) for t, pairs in TABLE_COLUMNS.items()}
-    return audit.pk_report(SupplyTables(**parts))
+    keys = {t: dict(pairs)[PRIMARY_KEYS[t]] for t, pairs in TABLE_COLUMNS.items()}
+    return audit.pk_report_projected(filled, keys)
 
 
 def fk_orphans(s: SparkSession, d: str) -> DataFrame:

@@ -58,3 +58,21 @@ def test_snapshot_versions(spark, tmp_root):
     import pytest
     with pytest.raises(ValueError):
         store.read("t", version=9)
+
+
+def test_pk_report_projected_equals_per_table(spark):
+    from shiprisk.operators.clean import project_rename
+    from shiprisk.schemas import PRIMARY_KEYS, TABLE_COLUMNS
+
+    rows = spark.createDataFrame(
+        [(1, 10, "a"), (1, 11, "b"), (2, 12, "c"), (None, 12, "d")],
+        "order_id int, order_item_id int, note string")
+    layout = {"orders": [("order_id", "order_id")], "order_items": [("order_item_id", "order_item_id")]}
+    per_table = SupplyTables(*[project_rename(rows, layout.get(t, [(PRIMARY_KEYS[t], "order_id")]))
+                               for t in TABLE_COLUMNS])
+    a = {r.table_name: tuple(r) for r in audit.pk_report(per_table).collect()
+         if r.table_name in layout}
+    b = {r.table_name: tuple(r[c] for c in audit.pk_report(per_table).columns)
+         for r in audit.pk_report_projected(rows, {"orders": "order_id", "order_items": "order_item_id"}).collect()}
+    assert a == b
+    assert a["orders"][2:] == (4, 2, 1, 1, 1)
