@@ -5,13 +5,21 @@ sources on every query (the medallion layout: bronze -> silver -> gold).
 Writing to the shared folder also cuts the lineage: a lost executor costs a
 re-read of Parquet, not a re-run of the joins.
 
-The flat table is sorted by order date inside each file, so Parquet
-row-group statistics let cutoff and year filters skip data.
+* The flat table is sorted by order date inside each file, so Parquet
+  row-group statistics let cutoff and year filters skip data.
+* ``order_items`` and ``shipments`` are bucketed by ``order_item_id`` and
+  ``orders`` by ``order_id`` (external tables in the session catalog whose
+  files live under the shared root).  The 1:1 item/shipment join then reads
+  matching buckets side by side with no shuffle, and the item/order join
+  shuffles only the item side.  Each bucket is one file: rows are
+  hash-partitioned on the bucket key before the write.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,31 +28,70 @@ from shiprisk.schemas import TABLE_NAMES
 from shiprisk.session import work_dir
 from shiprisk.sources import testbed
 
-# (application id, source dir) -> silver tables.  The values are lazy
-# DataFrame handles over the written files (no data is cached); keeping them
-# avoids re-listing the folders and re-reading Parquet footers per query.
-_WRITTEN: dict[tuple[str, str], SupplyTables] = {}
+BUCKET_KEYS = {"order_items": "order_item_id", "shipments": "order_item_id", "orders": "order_id"}
+
+
+@dataclass(frozen=True)
+class SilverLayout:
+    root: str
+    prefix: str      # catalog name prefix of the bucketed tables ('' = none)
+    buckets: int
+
+
+def _prefix_for(root: str) -> str:
+    tail = re.sub(r"[^a-z0-9]+", "_", os.path.basename(root.rstrip("/")).lower())
+    return tail if tail.startswith("silver") else f"silver_{tail}"
 
 
-def write_silver(flat: DataFrame, tables: SupplyTables, root: str) -> str:
-    """Persist the flat table and the six tables under ``root``."""
+def write_silver(flat: DataFrame, tables: SupplyTables, root: str,
+                 buckets: int | None = None) -> SilverLayout:
+    """Persist the flat table and the six tables under ``root``.
+
+    ``buckets`` (default: the session's shuffle partitions) sets the bucket
+    count of the fact tables; 0 writes plain Parquet only.
+    """
+    spark = flat.sparkSession
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (flat.sortWithinPartitions("order_date").write.mode("errorifexists")
      .parquet(f"{root}/flat"))
+    prefix = _prefix_for(root) if buckets else ""
     for name, df in tables.as_dict().items():
-        df.write.mode("errorifexists").parquet(f"{root}/{name}")
-    return root
+        path = f"{root}/{name}"
+        if buckets and name in BUCKET_KEYS:
+            key = BUCKET_KEYS[name]
+            (df.repartition(buckets, key).write.mode("errorifexists")
+             .bucketBy(buckets, key).sortBy(key).option("path", path)
+             .saveAsTable(f"{prefix}_{name}"))
+        else:
+            df.write.mode("errorifexists").parquet(path)
+    return SilverLayout(root, prefix, buckets or 0)
+
 
+def read_silver(spark: SparkSession, layout: SilverLayout | str) -> SupplyTables:
+    if isinstance(layout, str):
+        layout = SilverLayout(layout, "", 0)
+    parts = {}
+    for name in TABLE_NAMES:
+        if layout.prefix and name in BUCKET_KEYS:
+            parts[name] = spark.table(f"{layout.prefix}_{name}")
+        else:
+            parts[name] = spark.read.parquet(f"{layout.root}/{name}")
+    return SupplyTables(**parts, flat=spark.read.parquet(f"{layout.root}/flat"))
 
-def read_silver(spark: SparkSession, root: str) -> SupplyTables:
-    parts = {name: spark.read.parquet(f"{root}/{name}") for name in TABLE_NAMES}
-    return SupplyTables(**parts, flat=spark.read.parquet(f"{root}/flat"))
+
+# (application id, source dir) -> silver tables.  The values are lazy
+# DataFrame handles over the written files (no data is cached); keeping them
+# avoids re-listing the folders and re-reading Parquet footers per query.
+_WRITTEN: dict[tuple[str, str], SupplyTables] = {}
 
 
-def build_testbed_silver(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+def build_testbed_silver(spark: SparkSession, sf_dir: str, root: str | None = None,
+                         buckets: int | None = None) -> SilverLayout:
     """Map the driver's tables and write the silver layer (one job per table)."""
     root = root or work_dir(spark, "silver")
     return write_silver(testbed.flat(spark, sf_dir),
-                        testbed.tables(spark, sf_dir, with_flat=False), root)
+                        testbed.tables(spark, sf_dir, with_flat=False), root, buckets)
 
 
 def testbed_silver(spark: SparkSession, sf_dir: str) -> SupplyTables:
