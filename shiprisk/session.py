@@ -54,19 +54,45 @@ def shared_root(spark: SparkSession) -> str:
     replaced.  Only when it is unset (local tests) a private folder is made
     and registered, so checkpoint() and table writes have somewhere to go.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current.rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
+        if sc is not None:
+            sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     local = tempfile.mkdtemp(prefix="shiprisk-")
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
+    else:
+        spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (for per-application memos)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return f"session-{id(spark)}"
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the application (shuffle partitions as fallback)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared root for one job run."""
     root = shared_root(spark)

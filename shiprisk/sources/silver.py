@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shiprisk.model import SupplyTables
 from shiprisk.schemas import TABLE_NAMES
-from shiprisk.session import work_dir
+from shiprisk.session import app_id, work_dir
 from shiprisk.sources import testbed
 
 BUCKET_KEYS = {"order_items": "order_item_id", "shipments": "order_item_id", "orders": "order_id"}
@@ -96,7 +96,7 @@ def build_testbed_silver(spark: SparkSession, sf_dir: str, root: str | None = No
 
 def testbed_silver(spark: SparkSession, sf_dir: str) -> SupplyTables:
     """Silver tables of ``sf_dir``, written on first use in this application."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir))
     if key not in _WRITTEN:
         _WRITTEN[key] = read_silver(spark, build_testbed_silver(spark, sf_dir))
     return _WRITTEN[key]

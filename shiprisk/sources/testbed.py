@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shiprisk.model import SupplyTables
+from shiprisk.session import parallelism
 from shiprisk.schemas import JUNK_COLUMNS, NULL_FILLS, PII_COLUMNS, TABLE_COLUMNS
 
 SOURCE_TABLES = ["region", "nation", "customer", "part", "orders", "lineitem"]
@@ -169,10 +170,12 @@ def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     use the cluster (fewer splits than cores, e.g. one file with a single
     row group).  Large inputs already scan in many splits and are left as
     they are: the join then shuffles them once, as it must anyway."""
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    cores = parallelism(spark)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan: leave the source as it is
+        return df
+    return df.repartition(cores, key) if splits < cores else df
 
 
 def load_sources(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) -> dict[str, DataFrame]:
