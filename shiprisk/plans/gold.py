@@ -26,17 +26,20 @@ def gold_shipping_risk(flat: DataFrame) -> DataFrame:
     )
 
 
-def gold_monthly_revenue_by_market(flat: DataFrame, cutoff: str = config.DATA_CUTOFF) -> DataFrame:
+def gold_monthly_revenue_by_market(flat: DataFrame, cutoff: str = config.DATA_CUTOFF,
+                                   approx_rsd: float | None = None) -> DataFrame:
     """GT2: market x month -> distinct orders, revenue, profit (before cutoff).
 
     ``countDistinct`` is planned as a two-level aggregate keyed by
     (market, month, order_id): no single hot key even if one market
-    dominates.
+    dominates.  ``approx_rsd`` switches to a sketch-based estimate.
     """
+    from shiprisk.plans.reports import distinct_orders
+
     return (
         flat.where(before("order_date", cutoff))
         .groupBy("market", month_label("order_date").alias("order_month"))
-        .agg(F.countDistinct("order_id").alias("total_orders"),
+        .agg(distinct_orders(approx_rsd),
              money(F.sum("sales")).alias("revenue"),
              money(F.sum("order_profit_per_order")).alias("profit"))
     )

@@ -27,6 +27,20 @@ def _late_counts(*extra):
     ]
 
 
+def distinct_orders(approx_rsd: float | None = None):
+    """COUNT(DISTINCT order_id), or its HyperLogLog++ estimate.
+
+    The exact form is planned as a second aggregation level keyed by
+    (group, order_id), i.e. one extra shuffle of the distinct pairs.  With
+    ``approx_rsd`` (e.g. 0.01) each task keeps a fixed-size sketch per group
+    and only sketches are shuffled: the choice for very large inputs when
+    an estimate within the stated relative error is acceptable.
+    """
+    if approx_rsd is None:
+        return F.countDistinct("order_id").alias("total_orders")
+    return F.approx_count_distinct("order_id", rsd=approx_rsd).alias("total_orders")
+
+
 def top_k(df: DataFrame, k: int, metric: str, keys: list[str], ascending=False) -> DataFrame:
     """ORDER BY metric, keys LIMIT k (a TakeOrderedAndProject, no full sort)."""
     m = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
@@ -65,7 +79,8 @@ def late_rate_by_category(t: SupplyTables) -> DataFrame:
     )
 
 
-def monthly_trend(t: SupplyTables, cutoff: str | None = None) -> DataFrame:
+def monthly_trend(t: SupplyTables, cutoff: str | None = None,
+                  approx_rsd: float | None = None) -> DataFrame:
     """Distinct orders and revenue per calendar month."""
     df = t.star("orders", "order_items")
     if cutoff is not None:
@@ -73,7 +88,7 @@ def monthly_trend(t: SupplyTables, cutoff: str | None = None) -> DataFrame:
     return (
         df.groupBy(F.year("order_date").alias("order_year"),
                    F.month("order_date").alias("order_month"))
-        .agg(F.countDistinct("order_id").alias("total_orders"),
+        .agg(distinct_orders(approx_rsd),
              money(F.sum("sales")).alias("total_revenue"))
     )
 
@@ -131,14 +146,15 @@ def avg_delay_by_mode_region(t: SupplyTables, k: int = config.TOP_MODE_REGIONS)
     return top_k(agg, k, "avg_delay_days", ["shipping_mode", "order_region"])
 
 
-def weekday_volume(t: SupplyTables, cutoff: str | None = None) -> DataFrame:
+def weekday_volume(t: SupplyTables, cutoff: str | None = None,
+                   approx_rsd: float | None = None) -> DataFrame:
     """Q9: distinct orders and revenue per weekday name."""
     df = t.star("orders", "order_items")
     if cutoff is not None:
         df = df.where(before("order_date", cutoff))
     return (
         df.groupBy(weekday_name("order_date").alias("order_weekday"))
-        .agg(F.countDistinct("order_id").alias("total_orders"),
+        .agg(distinct_orders(approx_rsd),
              money(F.sum("sales")).alias("total_revenue"))
     )
 

@@ -117,3 +117,11 @@ def test_repartitioning_does_not_change_results(spark):
     a = reports.late_rate_by_category(t).collect()
     b = reports.late_rate_by_category(moved).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_approx_distinct_close_to_exact(spark):
+    t = tables(spark)
+    exact = {(r.order_year, r.order_month): r.total_orders for r in reports.monthly_trend(t).collect()}
+    approx = {(r.order_year, r.order_month): r.total_orders
+              for r in reports.monthly_trend(t, approx_rsd=0.01).collect()}
+    assert exact == approx  # tiny groups are counted exactly by the sketch
