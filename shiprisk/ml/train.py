@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shiprisk.ml.evaluate import classification_report, roc_auc
 from shiprisk.ml.features import ID, feature_names, fit_encoder
 from shiprisk.ml.split import with_class_weight
+from shiprisk.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 # Library defaults follow the original model; smoke runs pass smaller trees.
 RF_TREES, RF_DEPTH, SEED = 200, 12, 42
@@ -25,6 +26,10 @@ class Prepared:
     train: DataFrame  # encoded, persisted
     test: DataFrame   # encoded
 
+    def release(self) -> None:
+        """Drop the persisted training rows once every model is fitted."""
+        self.train.unpersist()
+
 
 def prepare(split: DataFrame) -> Prepared:
     """Fit the encoder on every row (levels only), encode both splits.
@@ -115,9 +120,9 @@ def feature_importance(model: PipelineModel, encoder: PipelineModel, spark, top:
     values = forest.featureImportances.toArray().tolist()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     df = spark.createDataFrame(rows, "feature string, importance double")
-    source = F.when(F.col("feature").contains("_"), F.regexp_extract(
-        "feature", r"^(shipping_mode|order_region|market|category_name|discount_rate|order_month|order_weekday|quantity)", 1))
-    return df.withColumn("source_column", F.coalesce(source, F.col("feature"))) \
+    inputs = sorted(NUMERIC_FEATURES + CATEGORICAL_FEATURES, key=len, reverse=True)
+    source = F.regexp_extract("feature", "^(" + "|".join(inputs) + ")", 1)
+    return df.withColumn("source_column", source) \
         .orderBy(F.desc("importance"), "feature").limit(top)
 
 

@@ -59,6 +59,7 @@ def _metrics(kind: str):
             model = train.train_logreg(prep)
         else:
             model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH, balanced=(kind == "rf_weighted"))
+        prep.release()
         return train.metrics_row(kind, train.score_encoded(model, prep.test))
     return run
 
@@ -66,12 +67,14 @@ def _metrics(kind: str):
 def score_delivery_risk(s, d):
     prep = train.prepare(_split(s, d))
     model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH)
+    prep.release()
     return train.score_encoded(model, prep.test)
 
 
 def feature_importance(s, d):
     prep = train.prepare(_split(s, d))
     model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH)
+    prep.release()
     return train.feature_importance(model, prep.encoder, s)
 
 
@@ -83,6 +86,7 @@ def model_comparison(s, d):
     for name, balanced in [("rf", False), ("rf_weighted", True)]:
         m = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH, balanced=balanced)
         rows.append(train.metrics_row(name, train.score_encoded(m, prep.test)))
+    prep.release()
     return train.compare_models(rows)
 
 
@@ -91,6 +95,7 @@ def model_roundtrip(s, d):
     sp = _split(s, d)
     prep = train.prepare(sp)
     model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH)
+    prep.release()
     path = work_dir(s, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
