@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shiprisk.checks.oracle import CUTOFF
+
 from shiprisk.schemas import (
     INT_COLUMNS, JUNK_COLUMNS, NULL_FILLS, NUMERIC_COLUMNS, PII_COLUMNS, PRIMARY_KEYS,
     TABLE_COLUMNS, FOREIGN_KEYS, DEDUPED_TABLES,
@@ -193,6 +195,25 @@ full outer join (select s.shipping_mode, o.market, count(*) as n, cast(sum(s.lat
     bronze_sel = ", ".join(f"cast({c} as varchar) as {c}_s" for c in RAW_ORDER)
     out["contract_violations"] = W(f"with bronze as (select {bronze_sel} from raw_dups) "
                                    + " union all ".join(contract_parts))
+    gold_counts = {
+        "gold_shipping_risk": "select count(*) from (select distinct shipping_mode, market, order_region from flat)",
+        "gold_monthly_revenue_by_market": "select count(*) from (select distinct market, strftime(order_date, '%Y-%m') "
+                                          f"from flat where order_date < timestamp '{CUTOFF}')",
+        "gold_category_profitability": "select count(*) from (select distinct category_name, department_name "
+                                       f"from flat where order_date < timestamp '{CUTOFF}')",
+    }
+    rows = [("bronze_supply_chain", "select count(*) from raw_dups"),
+            ("silver_cleaned", "select count(*) from cleaned"),
+            ("silver_orders", "select count(*) from cleaned"),
+            ("silver_categories", "select count(distinct category_id) from cleaned"),
+            ("silver_products", "select count(distinct product_card_id) from cleaned"),
+            ("silver_customers", "select count(distinct customer_id) from cleaned"),
+            ("silver_order_headers", "select count(distinct order_id) from cleaned"),
+            ("silver_order_items", "select count(*) from cleaned"),
+            ("silver_shipments", "select count(*) from cleaned")]
+    rows += list(gold_counts.items())
+    out["medallion_refresh"] = W(" union all ".join(
+        f"select '{n}' as table_name, cast(0 as bigint) as version, ({q}) as n_rows" for n, q in rows))
     return out
 
 

@@ -334,4 +334,17 @@ def incremental_gold_shipping_risk(s: SparkSession, d: str) -> DataFrame:
 
 
 def streaming_queries() -> dict:
-    return {"incremental_gold_shipping_risk": incremental_gold_shipping_risk}
+    return {"incremental_gold_shipping_risk": incremental_gold_shipping_risk,
+            "medallion_refresh": medallion_refresh}
+
+
+def medallion_refresh(s: SparkSession, d: str) -> DataFrame:
+    """Raw CSV of the test bed through every layer; row count per table."""
+    from shiprisk.plans.medallion import run_medallion
+
+    raw = _raw(s, d)
+    root = work_dir(s, "medallion")
+    csv_io.write_raw_csv(raw, f"{root}/raw")
+    types = {f.name: f.dataType for f in raw.schema.fields
+             if not isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
+    return run_medallion(s, f"{root}/raw", f"{root}/tables", CUTOFF, types, BRONZE_TS)
