@@ -41,7 +41,7 @@ def run_medallion(spark: SparkSession, raw_path: str, root: str, cutoff: str = c
     def save(df: DataFrame, name: str) -> DataFrame:
         store.save(df, name)
         written.append(name)
-        return store.read(name)
+        return store.read(name, version=store.own_version(name))
 
     bronze = save(clean.snake_case_columns(csv_io.read_raw_csv(spark, raw_path, encoding)), BRONZE)
     cleaned = save(clean.clean(bronze, types, timestamps), CLEANED)

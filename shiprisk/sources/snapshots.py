@@ -32,6 +32,9 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        # Versions this instance committed itself: no need to re-read the
+        # log to know they exist.  Other writers are still seen via the log.
+        self._committed: dict[str, set[int]] = {}
 
     def _path(self, name: str, part: str) -> str:
         return f"{self.root}/{name}/{part}"
@@ -63,15 +66,22 @@ class SnapshotStore:
             [(version, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), operation, n_rows)],
             LOG_SCHEMA)
         record.coalesce(1).write.mode("errorifexists").json(self._path(name, f"_log/v={version}"))
+        self._committed.setdefault(name, set()).add(version)
         return n_rows
 
+    def own_version(self, name: str) -> int | None:
+        """Newest version of ``name`` committed by this instance."""
+        mine = self._committed.get(name)
+        return max(mine) if mine else None
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The latest version, or ``version`` (0 = first write)."""
         if version is None:
             version = self.latest_version(name)
             if version is None:
                 raise ValueError(f"table {name!r} has no committed version")
-        committed = self.history(name).where(F.col("version") == version).limit(1).count()
-        if not committed:
-            raise ValueError(f"table {name!r} has no version {version}")
+        elif version not in self._committed.get(name, ()):
+            committed = self.history(name).where(F.col("version") == version).limit(1).count()
+            if not committed:
+                raise ValueError(f"table {name!r} has no version {version}")
         return self.spark.read.parquet(self._path(name, f"data/v={version}"))
