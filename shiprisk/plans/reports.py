@@ -300,26 +300,39 @@ def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
     from shiprisk.schemas import CORRELATION_COLUMNS
 
     cols = columns or CORRELATION_COLUMNS
-    x = {c: F.col(c).cast("double") for c in cols}
+    # Cast once in a projection (the optimizer keeps it, as each cast is
+    # used many times) so the aggregate multiplies plain doubles and stays
+    # inside whole-stage code generation.
+    casted = flat.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    x = {c: F.col(c) for c in cols}
     aggs = [F.count(F.lit(1)).cast("double").alias("n")]
     aggs += [F.sum(x[c]).alias(f"s_{i}") for i, c in enumerate(cols)]
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             aggs.append(F.sum(x[a] * x[cols[j]]).alias(f"p_{i}_{j}"))
-    moments = flat.select(*cols).agg(*aggs)
-
-    def cov(i: int, j: int):
-        lo, hi = min(i, j), max(i, j)
-        return F.col("n") * F.col(f"p_{lo}_{hi}") - F.col(f"s_{i}") * F.col(f"s_{j}")
+    moments = casted.agg(*aggs)
 
+    # One row per (x, y) cell carrying the moments it needs, then a single
+    # correlation formula applied row-wise (small generated code).
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            denom = F.sqrt(cov(i, i) * cov(j, j))
-            r = F.when(denom > 0, cov(i, j) / denom)
-            cells.append(F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
-                                  F.round(r, 2).alias("correlation")))
-    return moments.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+            lo, hi = min(i, j), max(i, j)
+            cells.append(F.struct(
+                F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
+                F.col(f"s_{i}").alias("sx"), F.col(f"s_{j}").alias("sy"),
+                F.col(f"p_{lo}_{hi}").alias("sxy"), F.col(f"p_{i}_{i}").alias("sxx"),
+                F.col(f"p_{j}_{j}").alias("syy")))
+    n = F.col("n")
+    cov_xy = n * F.col("c.sxy") - F.col("c.sx") * F.col("c.sy")
+    var_x = n * F.col("c.sxx") - F.col("c.sx") * F.col("c.sx")
+    var_y = n * F.col("c.syy") - F.col("c.sy") * F.col("c.sy")
+    denom = F.sqrt(var_x * var_y)
+    return (
+        moments.select("n", F.explode(F.array(*cells)).alias("c"))
+        .select("c.column_x", "c.column_y",
+                F.round(F.when(denom > 0, cov_xy / denom), 2).alias("correlation"))
+    )
 
 
 def kpi_summary(flat: DataFrame) -> DataFrame:
