@@ -44,19 +44,27 @@ def _prefix_for(root: str) -> str:
 
 
 def write_silver(flat: DataFrame, tables: SupplyTables, root: str,
-                 buckets: int | None = None) -> SilverLayout:
+                 buckets: int | None = None, concurrency: int = 4) -> SilverLayout:
     """Persist the flat table and the six tables under ``root``.
 
     ``buckets`` (default: the session's shuffle partitions) sets the bucket
-    count of the fact tables; 0 writes plain Parquet only.
+    count of the fact tables; 0 writes plain Parquet only.  The seven writes
+    are independent jobs and are submitted from ``concurrency`` driver
+    threads, so small tables do not wait behind the big ones and the
+    cluster stays busy.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = flat.sparkSession
     if buckets is None:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (flat.sortWithinPartitions("order_date").write.mode("errorifexists")
-     .parquet(f"{root}/flat"))
     prefix = _prefix_for(root) if buckets else ""
-    for name, df in tables.as_dict().items():
+
+    def write_flat() -> None:
+        (flat.sortWithinPartitions("order_date").write.mode("errorifexists")
+         .parquet(f"{root}/flat"))
+
+    def write_table(name: str, df: DataFrame) -> None:
         path = f"{root}/{name}"
         if buckets and name in BUCKET_KEYS:
             key = BUCKET_KEYS[name]
@@ -65,6 +73,11 @@ def write_silver(flat: DataFrame, tables: SupplyTables, root: str,
              .saveAsTable(f"{prefix}_{name}"))
         else:
             df.write.mode("errorifexists").parquet(path)
+
+    jobs = [write_flat] + [(lambda n=n, d=d: write_table(n, d)) for n, d in tables.as_dict().items()]
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        for future in [pool.submit(job) for job in jobs]:
+            future.result()  # re-raise the first failure
     return SilverLayout(root, prefix, buckets or 0)
 
 
