@@ -8,8 +8,6 @@ import math
 
 import duckdb
 
-from shiprisk.sources.testbed import SOURCE_TABLES
-
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
               "events", "documents", "embeddings", "pages", "benchmark", "labels",
               "conversations"]
@@ -61,4 +59,4 @@ def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     return True, f"{len(s_rows)} rows"
 
 
-__all__ = ["compare", "duck", "SOURCE_TABLES"]
+__all__ = ["compare", "duck"]

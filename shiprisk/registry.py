@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
 
     out: dict[str, str] = {}
     out.update(O.reports())
-    out.update(oracle_pipeline.pipeline(testbed.FLAT_TYPES, {}))
+    out.update(oracle_pipeline.pipeline(testbed.FLAT_TYPES))
     from shiprisk.checks import oracle_ml
 
     out.update(oracle_ml.ml())

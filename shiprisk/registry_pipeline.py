@@ -11,7 +11,7 @@ from shiprisk.operators import audit, clean
 from shiprisk.operators.normalize import normalize
 from shiprisk.plans import gold
 from shiprisk.schemas import (
-    INT_COLUMNS, NUMERIC_COLUMNS, PII_COLUMNS, PRIMARY_KEYS, RAW_HEADERS, TABLE_COLUMNS, contract,
+    INT_COLUMNS, NUMERIC_COLUMNS, PRIMARY_KEYS, RAW_HEADERS, TABLE_COLUMNS, contract,
 )
 from shiprisk.session import apply_defaults, work_dir
 from shiprisk.sources import csv_io, silver, testbed
@@ -315,7 +315,6 @@ def queries() -> dict:
     return out
 
 
-__all__ = ["queries", "edge", "PII_COLUMNS"]
 
 
 def incremental_gold_shipping_risk(s: SparkSession, d: str) -> DataFrame:
