@@ -10,6 +10,9 @@ DATA_CUTOFF = "2017-11-01"
 # run from 1995-01 to 2001-08.
 TESTBED_CUTOFF = "2001-06-01"
 
+# Year of the "sales by month" saved question on the test bed.
+TESTBED_SALES_YEAR = 2000
+
 # Q2 drops region/country groups with fewer shipments than this.
 MIN_SHIPMENTS = 100
 

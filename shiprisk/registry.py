@@ -60,7 +60,7 @@ def _report_queries() -> dict[str, Query]:
         "late_rate_by_country": lambda s, d: reports.late_rate_by_country(Fl(s, d)),
         "driver_spread": lambda s, d: reports.driver_spread(Fl(s, d)),
         "monthly_sales_for_year":
-            lambda s, d: reports.monthly_sales_for_year(T(s, d), O.SALES_YEAR),
+            lambda s, d: reports.monthly_sales_for_year(T(s, d), config.TESTBED_SALES_YEAR),
         "monthly_volume_check": lambda s, d: reports.monthly_volume_check(T(s, d)),
         "price_anomaly_months": lambda s, d: reports.price_anomaly_months(T(s, d)),
         "calendar_features": lambda s, d: reports.calendar_features(T(s, d).orders),
