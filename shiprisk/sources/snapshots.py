@@ -6,9 +6,12 @@ Layout under ``root/<table>/``::
     _log/v=<n>/part-*.json        commit record: version, committed_at, operation, n_rows
 
 A version is visible once its commit record exists; the data directory is
-written first, so readers never see a half-written version.  Both writes use
-``errorifexists``, so two writers racing for the same version number cannot
-both commit.  Old versions stay readable until removed.
+written first, so readers never see a half-written version.  The data of a
+not-yet-committed version is written with ``overwrite``: leftovers of a save
+that died midway (e.g. lost executors, driver retry) are replaced by the
+retry.  The commit record uses ``errorifexists``, so two writers racing for
+the same version number cannot both commit (one writer per table is the
+supported mode).  Old versions stay readable until removed.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ class SnapshotStore:
         latest = self.latest_version(name)
         version = 0 if latest is None else latest + 1
         data_path = self._path(name, f"data/v={version}")
-        df.write.mode("errorifexists").parquet(data_path)
+        df.write.mode("overwrite").parquet(data_path)  # uncommitted: safe to replace
         n_rows = self.spark.read.parquet(data_path).count()
         record = self.spark.createDataFrame(
             [(version, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), operation, n_rows)],
