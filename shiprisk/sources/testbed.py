@@ -219,9 +219,17 @@ def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed rows as they would arrive: pending orders' lines are sent twice."""
+    """Typed rows as they would arrive: pending orders' lines are sent twice.
+
+    The second copy is generated in the same pass (explode of a one- or
+    two-element array), so the mapping joins run once, not once per copy.
+    """
+    from pyspark.sql import functions as F
+
     rows = typed_rows(spark, sf_dir)
-    return rows.unionByName(rows.where("order_status = 'P'"))
+    copies = F.when(F.col("order_status") == "P", F.array(F.lit(1), F.lit(2))) \
+        .otherwise(F.array(F.lit(1)))
+    return rows.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
