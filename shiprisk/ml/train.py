@@ -96,17 +96,29 @@ def rule_scores(split: DataFrame) -> DataFrame:
 
 
 def metrics_row(name: str, scored: DataFrame) -> DataFrame:
-    """One row: model, accuracy, late-class precision/recall/F1, ROC-AUC."""
+    """One row: model, accuracy, late-class precision/recall/F1, ROC-AUC.
+
+    The scored rows are checkpointed once (both metrics read them).  The
+    report's rows are folded into one row by conditional aggregation and
+    merged with the one-row AUC frame by a union and a final aggregate, so
+    no join is involved.
+    """
+    from shiprisk.session import shared_root
+
+    shared_root(scored.sparkSession)
+    scored = scored.checkpoint(eager=True)
     rep = classification_report(scored)
-    late = rep.where("class = '1'").select(
-        F.col("precision").alias("precision_late"), F.col("recall").alias("recall_late"),
-        F.col("f1_score").alias("f1_late"), F.lit(1).alias("_k"))
-    acc = rep.where("class = 'accuracy'").select(F.col("f1_score").alias("accuracy"),
-                                                  F.lit(1).alias("_k"))
-    auc = roc_auc(scored).select(F.round("roc_auc", 4).alias("roc_auc"), F.lit(1).alias("_k"))
-    return (acc.join(late, "_k").join(auc, "_k")
-            .select(F.lit(name).alias("model"), "accuracy", "precision_late", "recall_late",
-                    "f1_late", "roc_auc"))
+    cls = F.col("class")
+    report_row = rep.agg(
+        F.max(F.when(cls == "accuracy", F.col("f1_score"))).alias("accuracy"),
+        F.max(F.when(cls == "1", F.col("precision"))).alias("precision_late"),
+        F.max(F.when(cls == "1", F.col("recall"))).alias("recall_late"),
+        F.max(F.when(cls == "1", F.col("f1_score"))).alias("f1_late"),
+    )
+    auc_row = roc_auc(scored).select(F.round("roc_auc", 4).alias("roc_auc"))
+    cols = ["accuracy", "precision_late", "recall_late", "f1_late", "roc_auc"]
+    both = report_row.unionByName(auc_row, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in cols]).select(F.lit(name).alias("model"), *cols)
 
 
 def feature_importance(model: PipelineModel, encoder: PipelineModel, spark, top: int = 15) -> DataFrame:
