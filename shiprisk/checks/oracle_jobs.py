@@ -65,7 +65,7 @@ def _projection(table: str, source: str) -> str:
     return f"select {', '.join(f'{s} as {o}' for o, s in TABLE_COLUMNS[table])} from {source}"
 
 
-def pipeline(flat_types: dict[str, str]) -> dict[str, str]:
+def jobs(flat_types: dict[str, str]) -> dict[str, str]:
     out: dict[str, str] = {}
     flat_edge = edge(FLAT_ORDER)
     out["csv_bronze_roundtrip"] = W(f"select {flat_edge} from flat")

@@ -69,12 +69,12 @@ def _report_queries() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    from shiprisk import registry_pipeline
+    from shiprisk import registry_jobs
 
     out: dict[str, Query] = {}
     out.update(_report_queries())
-    out.update(registry_pipeline.queries())
-    out.update(registry_pipeline.streaming_queries())
+    out.update(registry_jobs.queries())
+    out.update(registry_jobs.streaming_queries())
     from shiprisk import registry_ml
 
     out.update(registry_ml.queries())
@@ -83,11 +83,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from shiprisk.checks import oracle_pipeline
+    from shiprisk.checks import oracle_jobs
 
     out: dict[str, str] = {}
     out.update(O.reports())
-    out.update(oracle_pipeline.pipeline(testbed.FLAT_TYPES))
+    out.update(oracle_jobs.jobs(testbed.FLAT_TYPES))
     from shiprisk.checks import oracle_ml
 
     out.update(oracle_ml.ml())

@@ -73,7 +73,7 @@ def test_latin1_csv_roundtrip(spark, tmp_root):
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
 
 
-def test_clean_pipeline_types(spark):
+def test_clean_end_to_end_types(spark):
     df = spark.createDataFrame([("2", "1", "59.99000168", "1/2/2017 3:04", "x", "img", "pw")],
                                "days_for_shipping_real string, days_for_shipment_scheduled string, "
                                "product_price string, order_date_dateorders string, "
