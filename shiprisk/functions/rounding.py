@@ -20,7 +20,10 @@ def ratio_round(num: str, den: str, scale: int = 2, mult: int = 1) -> Column:
     """round_half_up(mult * num / den, scale) as DOUBLE; NULL if den is 0.
 
     ``num`` and ``den`` name integral columns (counts, sums of ints, cents).
-    Work is done in DECIMAL(38,0) so large totals cannot overflow.
+    Work is done in DECIMAL(38,0) so large totals cannot overflow.  The
+    rounded value is exact; its DOUBLE form is the nearest double while the
+    result has fewer than 16 significant digits (|result| * 10**scale < 2**53),
+    far above any rate, mean or margin here.
     """
     n = f"cast({_q(num)} as decimal(38,0))"
     d = f"cast({_q(den)} as decimal(38,0))"

@@ -52,3 +52,28 @@ def test_cutoff_filter_reaches_parquet_scan(spark, tmp_root, capsys):
     q.explain("formatted")
     plan = capsys.readouterr().out
     assert "PushedFilters: [IsNotNull(order_date), LessThan(order_date," in plan
+
+
+def test_ratio_round_matches_decimal_half_up(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rnd = random.Random(7)
+    pairs = []
+    for _ in range(2000):
+        den = rnd.choice([1, 2, 3, 7, 8, 400, 2_000_003, rnd.randint(1, 10**12)])
+        num = rnd.randint(-10**13, 10**13) if rnd.random() < 0.5 else rnd.randint(-50, 50)
+        pairs.append((num, den * rnd.choice([1, -1])))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = df.select("a", "b", ratio_round("a", "b", 2, 100).alias("pct"),
+                    ratio_round("a", "b", 4).alias("r4")).collect()
+    for r in got:
+        # the rounded value is exact; its DOUBLE form is correctly rounded
+        # while the scaled integer stays below 2**53
+        if abs(Decimal(r.a) / Decimal(r.b)) * 10**4 >= 2**53:
+            continue
+        exact = Decimal(r.a) * 100 / Decimal(r.b)
+        want_pct = float((Decimal(r.a) * 100 / Decimal(r.b)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+        want_r4 = float((Decimal(r.a) / Decimal(r.b)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        assert r.pct == want_pct, (r.a, r.b, exact)
+        assert r.r4 == want_r4, (r.a, r.b)
