@@ -78,7 +78,9 @@ def queries() -> dict[str, Query]:
     from shiprisk import registry_ml
 
     out.update(registry_ml.queries())
-    out.update(registry_ml.guard_queries())
+    from shiprisk import registry_guard
+
+    out.update(registry_guard.guard_queries())
     return out
 
 
