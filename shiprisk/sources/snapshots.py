@@ -54,14 +54,24 @@ class SnapshotStore:
         row = self.history(name).agg(F.max("version").alias("v")).first()
         return None if row is None or row["v"] is None else int(row["v"])
 
-    def save(self, df: DataFrame, name: str, operation: str = "WRITE") -> int:
+    def save(self, df: DataFrame, name: str, operation: str = "WRITE",
+             version: int | None = None) -> int:
         """S3: write a new full version (data and schema replaced); row count.
 
         The count is read from the Parquet footers of the new version (row
         group metadata only), not by re-running the job that produced it.
+        With an explicit ``version`` (e.g. a streaming batch id) the save is
+        idempotent: a version that is already committed is left as it is.
         """
-        latest = self.latest_version(name)
-        version = 0 if latest is None else latest + 1
+        if version is None:
+            latest = self.latest_version(name)
+            version = 0 if latest is None else latest + 1
+        else:
+            done = self.history(name).where(F.col("version") == version)
+            row = done.select("n_rows").limit(1).collect()
+            if row:
+                self._committed.setdefault(name, set()).add(version)
+                return int(row[0]["n_rows"])
         data_path = self._path(name, f"data/v={version}")
         df.write.mode("overwrite").parquet(data_path)  # uncommitted: safe to replace
         n_rows = self.spark.read.parquet(data_path).count()

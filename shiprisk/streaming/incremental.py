@@ -82,8 +82,11 @@ def run_gold_refresh(spark: SparkSession, raw_path: str, store: SnapshotStore, c
     state = shipping_risk_state(silver_stream(
         read_raw_stream(spark, raw_path, files_per_trigger), types, timestamps))
 
-    def publish(batch: DataFrame, _batch_id: int) -> None:
-        store.save(finish_shipping_risk(batch), table, operation="STREAMING UPDATE")
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        # version = batch id: a micro-batch replayed after a failure finds
+        # its version committed and is not written twice.
+        store.save(finish_shipping_risk(batch), table, operation="STREAMING UPDATE",
+                   version=batch_id)
 
     query = (
         state.writeStream.outputMode("complete")

@@ -85,3 +85,13 @@ def test_snapshot_save_retries_over_uncommitted_leftovers(spark, tmp_root):
     assert store.latest_version("t") is None
     assert store.save(spark.range(4), "t") == 4
     assert store.read("t").count() == 4 and store.latest_version("t") == 0
+
+
+def test_snapshot_save_with_version_is_idempotent(spark, tmp_root):
+    store = SnapshotStore(spark, tmp_root)
+    assert store.save(spark.range(5), "s", version=0) == 5
+    assert store.save(spark.range(9), "s", version=0) == 5   # replay: kept as committed
+    assert store.save(spark.range(2), "s", version=1) == 2
+    fresh = SnapshotStore(spark, tmp_root)                     # another process sees the log
+    assert fresh.save(spark.range(7), "s", version=1) == 2
+    assert [h.version for h in fresh.history("s").orderBy("version").collect()] == [0, 1]
