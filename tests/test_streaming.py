@@ -40,6 +40,10 @@ def test_incremental_refresh_matches_batch(spark, tmp_root):
     totals = [store.read("gold_shipping_risk", v).agg(F.sum("total_shipments")).first()[0]
               for v in range(3)]
     assert totals[0] < totals[1] == totals[2]  # re-sent lines are dropped
+    # restart from the same checkpoint with no new files: nothing is re-published
+    again = incremental.run_gold_refresh(spark, landing, store, f"{tmp_root}/ckpt", types, TS,
+                                         files_per_trigger=1)
+    assert again == 3
     batch = gold.gold_shipping_risk(clean.drop_pii(clean.clean_typed(typed)))
     assert sorted(map(tuple, store.read("gold_shipping_risk").collect())) == \
         sorted(map(tuple, batch.collect()))
