@@ -131,6 +131,15 @@ def jobs(flat_types: dict[str, str]) -> dict[str, str]:
             (select count(*) from t_{pt} p where p.{pc} is not null and not exists
                (select 1 from t_{ct} c where c.{cc} = p.{pc})) as childless_parents""")
     out["fk_orphans"] = W(" union all ".join(fk_parts))
+    kc = []
+    for t in DEDUPED_TABLES:
+        pairs = TABLE_COLUMNS[t]
+        key = dict(pairs)[PRIMARY_KEYS[t]]
+        payload = [src for _, src in pairs if src != key]
+        kc.append(f"""select '{t}' as table_name, '{key}' as key_column, count(*) as n_keys,
+            count(case when v > 1 then 1 end) as conflicting_keys
+            from (select {key}, count(distinct ({', '.join(payload)})) as v from cleaned group by {key})""")
+    out["key_conflicts"] = W(" union all ".join(kc))
     out["reconcile_flat_vs_relational"] = W("""
 select coalesce(f.shipping_mode, r.shipping_mode) as shipping_mode, coalesce(f.market, r.market) as market,
        f.n as flat_total_shipments, r.n as rel_total_shipments,

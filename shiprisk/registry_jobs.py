@@ -310,6 +310,7 @@ def queries() -> dict:
         "pk_violations": pk_violations,
         "fk_orphans": fk_orphans,
         "reconcile_flat_vs_relational": reconcile_flat_vs_relational,
+        "key_conflicts": key_conflicts,
     }
     out.update({name: _join(name) for name in JOIN_COLUMNS})
     return out
@@ -347,3 +348,20 @@ def medallion_refresh(s: SparkSession, d: str) -> DataFrame:
     types = {f.name: f.dataType for f in raw.schema.fields
              if not isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
     return run_medallion(s, f"{root}/raw", f"{root}/tables", CUTOFF, types, BRONZE_TS)
+
+
+def _dedupe_dims() -> dict:
+    from shiprisk.schemas import DEDUPED_TABLES
+
+    out = {}
+    for t in DEDUPED_TABLES:
+        pairs = TABLE_COLUMNS[t]
+        key = dict(pairs)[PRIMARY_KEYS[t]]
+        out[t] = (key, [src for out_, src in pairs if src != key])
+    return out
+
+
+def key_conflicts(s: SparkSession, d: str) -> DataFrame:
+    """Dimension keys of the cleaned rows whose payload is not unique."""
+    cleaned = clean.clean_typed(_raw(s, d))
+    return audit.key_conflicts(cleaned, _dedupe_dims())

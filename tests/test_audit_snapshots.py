@@ -95,3 +95,11 @@ def test_snapshot_save_with_version_is_idempotent(spark, tmp_root):
     fresh = SnapshotStore(spark, tmp_root)                     # another process sees the log
     assert fresh.save(spark.range(7), "s", version=1) == 2
     assert [h.version for h in fresh.history("s").orderBy("version").collect()] == [0, 1]
+
+
+def test_key_conflicts_finds_non_functional_keys(spark):
+    rows = spark.createDataFrame(
+        [(1, "Phone", 10), (1, "Phone", 11), (2, "Lamp", 12), (2, "Lamp v2", 13)],
+        "product_card_id int, product_name string, order_item_id int")
+    got = audit.key_conflicts(rows, {"products": ("product_card_id", ["product_name"])}).collect()
+    assert [(r.table_name, r.n_keys, r.conflicting_keys) for r in got] == [("products", 2, 1)]
