@@ -84,3 +84,25 @@ def test_clean_end_to_end_types(spark):
     row = out.collect()[0]
     assert row.product_price == Decimal("59.99") and row.delay_days == 1
     assert "product_image" not in out.columns and row.order_date == dt.datetime(2017, 1, 2, 3, 4)
+
+
+def test_cli_runs_medallion_on_a_raw_file(spark, tmp_root, capsys):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from shiprisk.__main__ import main
+    from shiprisk.sources import testbed
+
+    raw = testbed.raw_rows(spark, "/root/testdata/sf0.001")
+    # the original file has integer keys: give the test bed's text keys codes
+    for c in ["order_item_id", "category_id"]:
+        raw = raw.withColumn(c, F.dense_rank().over(Window.orderBy(c)))
+    raw = raw.withColumn("product_category_id", F.col("category_id"))
+    csv_io.write_raw_csv(raw, f"{tmp_root}/raw")
+    code = main(["medallion", "--raw", f"{tmp_root}/raw", "--root", f"{tmp_root}/tables",
+                 "--cutoff", "2001-06-01"])
+    out = capsys.readouterr().out
+    assert code == 0
+    for table in ["bronze_supply_chain", "silver_orders", "silver_order_headers",
+                  "gold_shipping_risk", "gold_category_profitability"]:
+        assert table in out
