@@ -254,8 +254,7 @@ def tables(spark: SparkSession, sf_dir: str, with_flat: bool = True) -> SupplyTa
     li, o, c, n, r, p = (src[k] for k in ["lineitem", "orders", "customer", "nation", "region", "part"])
 
     def sel(df, names):
-        exprs = {**s1}
-        return df.selectExpr(*[f"{exprs[k]} as {k}" for k in names])
+        return df.selectExpr(*[f"{s1[k]} as {k}" for k in names])
 
     cat_cols = [src_ for _, src_ in TABLE_COLUMNS["categories"]]
     categories = _project(sel(p, cat_cols).distinct(), "categories")
