@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiprisk.llm import mixing, secrets
+from shiprisk.llm import (bpe, langid, mixing, quality, secrets, simhash, spherical, tokenfiles, toxicity,
+                          urlfilter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": toxicity.query,
+        "op2_bpe": bpe.query,
+        "op3_language_id": langid.query,
         "op4_secret_scans": secrets.query,
+        "op5_simhash": simhash.query,
+        "op6_url_filters": urlfilter.query,
+        "op7_token_files": tokenfiles.query,
+        "op8_quality_rules": quality.query,
+        "op9_embeddings": spherical.query,
         "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op9_embeddings": spherical.SQL, "op10_mixing": mixing.SQL}
