@@ -79,7 +79,8 @@ def _finish(sized: DataFrame, goals: DataFrame, repeats: int) -> DataFrame:
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: Column | None = None,
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
         carry: list[str] | None = None) -> DataFrame:
-    """Per row: the carried columns, size, source_size, target, times (0..repeats) and taken = times * size.
+    """Per row: row (a struct of the carried columns, by default doc_id), size, source_size, target,
+    times (0..repeats) and taken = times * size.
 
     ``key`` is the shuffle key (default: md5 of doc_id); ties go by row number.
     """
@@ -105,20 +106,17 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: Col
         F.sum(fits.cast("long")).alias("times"), F.first("source_size").alias("source_size"),
         F.first("target").alias("target"))
     return sized.join(times, "row_no").select(
-        "row.*", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+        "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row as often as the mix takes it (0, 1 or 2 times)."""
-    cols = docs.columns
-    mixed = mix(docs, carry=cols)
-    out = mixed.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "times")
-    return out.filter("times > 0").select("row", F.explode(F.expr("array_repeat(1, cast(times as int))"))
-                                          ).select("row.*")
+    mixed = mix(docs, carry=docs.columns).filter("times > 0")
+    return mixed.select("row", F.explode(F.expr("sequence(1L, times)"))).select("row.*")
 
 
 SQL = r"""
