@@ -22,7 +22,6 @@ TOP_MODE_REGIONS = 20
 TOP_PRODUCTS = 10
 TOP_CATEGORIES = 15
 PREVIEW_ROWS = 30
-GUARDED_ROW_CAP = 200
 
 # Timestamp text of the raw CSV, e.g. 1/31/2018 22:56.
 RAW_TIMESTAMP_FORMAT = "M/d/yyyy H:mm"
