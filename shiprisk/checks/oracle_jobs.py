@@ -5,7 +5,7 @@ from __future__ import annotations
 from shiprisk.checks.oracle import CUTOFF
 
 from shiprisk.schemas import (
-    INT_COLUMNS, JUNK_COLUMNS, NULL_FILLS, NUMERIC_COLUMNS, PII_COLUMNS, PRIMARY_KEYS,
+    INT_COLUMNS, JUNK_COLUMNS, KEY_COLUMNS, NULL_FILLS, NUMERIC_COLUMNS, PII_COLUMNS, PRIMARY_KEYS,
     TABLE_COLUMNS, FOREIGN_KEYS, DEDUPED_TABLES,
 )
 from shiprisk.sources.testbed import FLAT_ORDER, RAW_ORDER, duckdb_ctes
@@ -79,7 +79,8 @@ def jobs(flat_types: dict[str, str]) -> dict[str, str]:
     tc = []
     for c in INT_COLUMNS + NUMERIC_COLUMNS:
         if c in INT_COLUMNS:
-            tc.append(f"try_cast(cast({c} as varchar) as INTEGER) as {c}")
+            whole = "BIGINT" if c in KEY_COLUMNS else "INTEGER"
+            tc.append(f"try_cast(cast({c} as varchar) as {whole}) as {c}")
         else:
             tc.append(f"cast(try_cast(cast({c} as varchar) as {DUCK_TYPES[_NUM_TYPES[c]]}) as double) as {c}")
     out["try_cast_columns"] = W("select " + ", ".join(tc) + " from typed")
@@ -113,16 +114,22 @@ def jobs(flat_types: dict[str, str]) -> dict[str, str]:
         count(*) - (select count(*) from (select distinct * from raw_dups)) as duplicate_rows from raw_dups""")
     out["table_row_counts"] = W(" union all ".join(
         f"select '{t}' as table_name, count(*) as n_rows from t_{t}" for t in TABLE_COLUMNS))
-    pk_parts = []
+    pk_parts, own_parts = [], []
     for t, k in PRIMARY_KEYS.items():
         src = dict(TABLE_COLUMNS[t])[k]
         filled = "(select " + ", ".join(fill(c) for c in RAW_ORDER) + " from raw_dups)"
+        own_parts.append(f"""select '{t}' as table_name, '{k}' as key_column, cast(sum(n) as bigint) as n_rows,
+            count(k) as n_keys, cast(coalesce(sum(case when k is null then n end), 0) as bigint) as null_key_rows,
+            count(case when k is not null and n > 1 then 1 end) as duplicated_keys,
+            cast(coalesce(sum(case when k is not null and n > 1 then n - 1 end), 0) as bigint) as excess_rows
+            from (select {k} as k, count(*) as n from t_{t} group by 1)""")
         pk_parts.append(f"""select '{t}' as table_name, '{k}' as key_column, cast(sum(n) as bigint) as n_rows,
             count(k) as n_keys, cast(coalesce(sum(case when k is null then n end), 0) as bigint) as null_key_rows,
             count(case when k is not null and n > 1 then 1 end) as duplicated_keys,
             cast(coalesce(sum(case when k is not null and n > 1 then n - 1 end), 0) as bigint) as excess_rows
             from (select {src} as k, count(*) as n from {filled} group by 1)""")
-    out["pk_violations"] = W(" union all ".join(pk_parts))
+    out["pk_violations"] = W(" union all ".join(own_parts))
+    out["raw_key_repeats"] = W(" union all ".join(pk_parts))
     fk_parts = []
     for ct, cc, pt, pc in FOREIGN_KEYS:
         fk_parts.append(f"""select '{ct}.{cc} -> {pt}.{pc}' as relation,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shiprisk.operators import sqlguard
 from shiprisk.sources.testbed import duckdb_ctes
 
 FEATURES = """
@@ -72,6 +73,9 @@ select case when sum(pos) = 0 or sum(neg) = 0 then null
 from (select s, pos, neg, coalesce(sum(neg) over (order by s rows between unbounded preceding and 1 preceding), 0) as neg_below
       from (select score as s, count(case when label = 1 then 1 end) as pos,
                    count(case when label = 0 then 1 end) as neg from rule group by 1))""")
+    out["scored_rows"] = W("select order_item_id, label, true as consistent from split where split = 'test'")
+    levels = " + ".join(f"(select count(distinct {c}) - 1 from features)" for c in cats)
+    out["importance_total"] = W(f"select 4 + {levels} as n_features, cast(1.0 as double) as total")
     return out
 
 
@@ -83,6 +87,8 @@ select event_id, event_type,
                                      || cast(user_id as varchar) || chr(10) || '```'
        when event_type = 'purchase' then '  select sales from order_items where order_id = ' || cast(event_id as varchar) || ';;  '
        when event_type = 'error' then 'select 1; drop table shipments -- ' || cast(event_id as varchar)
+       when event_type = 'signup' and user_id % 7 = 0 then 'select `reflect`(''java.lang.System'', ''getenv'', ''X'') from orders where order_id = '
+                                     || cast(user_id as varchar)
        when event_type = 'signup' then 'with c as (select * from customers) select * from c where customer_id = ' || cast(user_id as varchar)
        else 'SELECT ''please delete '' || order_status FROM orders LIMIT ' || cast(user_id as varchar) end as raw_text
 from events"""
@@ -90,6 +96,7 @@ from events"""
 EXTRACT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   raw_text, '^\s+|\s+$', '', 'g'), '(?i)^```(sql)?', ''), '^\s+|\s+$', '', 'g'), '```$', ''), '^\s+|\s+$', '', 'g')"""
 
+# FIXED VALUES: the words refused anywhere in a statement.
 FORBIDDEN = ("(?i)\\b(insert|update|delete|drop|alter|truncate|attach|detach|pragma|create|replace"
              "|grant|revoke)\\b")
 
@@ -107,7 +114,12 @@ select p.product_name, s.shipping_mode, count(*) as total_shipments,
 from t_order_items oi join t_products p on oi.product_card_id = p.product_card_id
 join t_shipments s on oi.order_item_id = s.order_item_id
 group by p.product_name, s.shipping_mode"""
+    names = ", ".join(f"'{n}'" for n in [*sqlguard.ALLOWED_FUNCTIONS, *sqlguard.BEFORE_BRACKET])
+    called = r"regexp_extract_all(sql_text, '([\p{L}_][\p{L}\p{N}_]*)`?\s*\(', 1)"
+    strange = f"len([x for x in {called} if lower(x) not in ({names})]) > 0"
+    check = f"case when {verdict} = 'ok' and {strange} then 'forbidden_function' else {verdict} end"
     return {
+        "statement_check": f"{base} select event_id, {check} as verdict from ex",
         "extract_sql": f"{base} select * from ex",
         "guard_verdict": f"{base} select event_id, {verdict} as verdict from ex",
         "guarded_sql": guarded,

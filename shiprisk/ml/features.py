@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +68,30 @@ def feature_names(encoder: PipelineModel) -> list[str]:
     return names
 
 
+def base_levels(encoder: PipelineModel) -> dict[str, str]:
+    """The dropped (alphabetically first) level of each categorical input."""
+    return {c: m.labels[-1] for c, m in zip(CATEGORICAL_FEATURES, encoder.stages)}
+
+
+def with_known_levels(features: DataFrame, encoder: PipelineModel) -> DataFrame:
+    """Replace levels that the encoder never saw (and nulls) by the base level."""
+    cols = {c: F.when(F.col(c).isin(list(m.labels)), F.col(c)).otherwise(F.lit(m.labels[-1]))
+            for c, m in zip(CATEGORICAL_FEATURES, encoder.stages)}
+    return features.withColumns(cols)
+
+
 def one_hot_long(features: DataFrame, encoder: PipelineModel) -> DataFrame:
-    """The active one-hot slots of every row, long form (row id, feature).
-
-    Reads the encoder's own output vectors, so it shows what the model sees.
-    """
-    encoded = encoder.transform(features)
-    names = feature_names(encoder)
-    offset = len(NUMERIC_FEATURES)
-    label_arr = F.array(*[F.lit(n) for n in names[offset:]])
-    ohe = F.concat(*[vector_to_array(F.col(f"{c}__ohe")) for c in CATEGORICAL_FEATURES])
-    return (
-        encoded.select(ID, F.posexplode(ohe).alias("pos", "value"))
-        .where(F.col("value") == 1.0)
-        .select(ID, F.element_at(label_arr, F.col("pos") + 1).alias("feature"))
-    )
+    """The active one-hot slots of every row, long form (row id, feature):
+    at most one per categorical input, none for its base level."""
+    base = base_levels(encoder)
+    known = with_known_levels(features, encoder)
+    slots = F.array(*[F.when(F.col(c) != base[c], F.concat(F.lit(f"{c}_"), F.col(c))) for c in CATEGORICAL_FEATURES])
+    return known.select(ID, F.explode(F.filter(slots, lambda x: x.isNotNull())).alias("feature"))
+
+
+def one_hot_wide(features: DataFrame, encoder: PipelineModel) -> DataFrame:
+    """M2: one 0/1 column ``<column>_<level>`` per kept level beside the row id and the numeric inputs."""
+    known = with_known_levels(features, encoder)
+    flags = [(F.col(c) == level).cast("int").alias(f"{c}_{level}")
+             for c, m in zip(CATEGORICAL_FEATURES, encoder.stages) for level in list(m.labels)[:-1]]
+    return known.select(ID, *NUMERIC_FEATURES, *flags)

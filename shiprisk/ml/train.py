@@ -8,15 +8,15 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiprisk.ml.evaluate import classification_report, roc_auc
-from shiprisk.ml.features import ID, feature_names, fit_encoder
+from shiprisk.ml.features import ID, feature_names, fit_encoder, with_known_levels
 from shiprisk.ml.split import with_class_weight
 from shiprisk.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
-# Library defaults follow the original model; smoke runs pass smaller trees.
+# The size of the original model.
 RF_TREES, RF_DEPTH, SEED = 200, 12, 42
 
 
@@ -45,13 +45,26 @@ def prepare(split: DataFrame) -> Prepared:
     return Prepared(encoder, train, test)
 
 
+def stored(model):
+    """The model as read back from the shared folder.
+
+    Scoring tasks get the model alone: a freshly fitted one also holds its
+    training summary and through it the session.
+    """
+    from shiprisk.session import work_dir
+
+    path = work_dir(SparkSession.getActiveSession(), "model")
+    model.save(path)
+    return type(model).load(path)
+
+
 def train_logreg(prep: Prepared, max_iter: int = 1000) -> PipelineModel:
     """M4: L2 logistic regression with sklearn's C=1 scaling (reg = 1/n)."""
     n_train = prep.train.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
                             regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                             standardization=False)
-    return PipelineModel(stages=[*prep.encoder.stages, lr.fit(prep.train)])
+    return PipelineModel(stages=[*prep.encoder.stages, stored(lr.fit(prep.train))])
 
 
 def train_forest(prep: Prepared, num_trees: int = RF_TREES, max_depth: int = RF_DEPTH,
@@ -63,13 +76,14 @@ def train_forest(prep: Prepared, num_trees: int = RF_TREES, max_depth: int = RF_
                                 cacheNodeIds=True, maxMemoryInMB=512)
     if balanced:
         rf = rf.setWeightCol("weight")
-    return PipelineModel(stages=[*prep.encoder.stages, rf.fit(train)])
+    return PipelineModel(stages=[*prep.encoder.stages, stored(rf.fit(train))])
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     """M7: predicted class and P(late) per row (the model's last stage
-    reads the assembled features; earlier stages encode raw inputs)."""
-    out = model.transform(features)
+    reads the assembled features; earlier stages encode raw inputs).  A level
+    that training never saw counts as the base level (all slots zero)."""
+    out = model.transform(with_known_levels(features, model))
     return out.select(ID, "label", F.col("prediction").cast("int").alias("prediction"),
                       vector_to_array("probability").getItem(1).alias("score"))
 
@@ -83,16 +97,20 @@ def score_encoded(model: PipelineModel, encoded: DataFrame) -> DataFrame:
 
 
 def rule_scores(split: DataFrame) -> DataFrame:
-    """Baseline scorer: the training late rate of the row's shipping mode;
-    predict late when it is at least 0.5.  Scores the test rows."""
-    rates = (
+    """Baseline scorer: the training late rate of the row's shipping mode (of
+    all training rows for a mode without any); predict late when it is at
+    least 0.5.  Scores every test row."""
+    by_mode = (
         split.where(F.col("split") == "train").groupBy("shipping_mode")
         .agg(F.sum("label").alias("late"), F.count(F.lit(1)).alias("n"))
-        .select("shipping_mode", (F.col("late").cast("double") / F.col("n")).alias("score"))
     )
-    test = split.where(F.col("split") == "test")
-    return test.join(rates, "shipping_mode").select(
-        ID, "label", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("prediction"), "score")
+    rate = lambda late, n: late.cast("double") / n
+    rates = by_mode.select("shipping_mode", rate(F.col("late"), F.col("n")).alias("own"))
+    overall = by_mode.agg(rate(F.sum("late"), F.sum("n")).alias("overall")).withColumn("one", F.lit(1))
+    test = split.where(F.col("split") == "test").withColumn("one", F.lit(1))
+    scored = test.join(rates, "shipping_mode", "left").join(F.broadcast(overall), "one")  # one row
+    scored = scored.withColumn("score", F.coalesce("own", "overall"))
+    return scored.select(ID, "label", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("prediction"), "score")
 
 
 def metrics_row(name: str, scored: DataFrame) -> DataFrame:
@@ -121,27 +139,28 @@ def metrics_row(name: str, scored: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in cols]).select(F.lit(name).alias("model"), *cols)
 
 
-def feature_importance(model: PipelineModel, encoder: PipelineModel, spark, top: int = 15) -> DataFrame:
-    """Named importances (top ``top``) and each one's source column.
+def all_importances(model: PipelineModel, encoder: PipelineModel, spark) -> DataFrame:
+    """Every named importance and its source column.
 
-    The importances are one value per vector slot (model metadata, a few
-    dozen numbers), turned into a small DataFrame.
+    The importances are one value per vector slot (model metadata, one per
+    feature level), turned into a small DataFrame.
     """
-    forest = model.stages[-1]
     names = feature_names(encoder)
-    values = forest.featureImportances.toArray().tolist()
-    rows = [(n, float(v)) for n, v in zip(names, values)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
+    values = model.stages[-1].featureImportances.toArray().tolist()
+    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     inputs = sorted(NUMERIC_FEATURES + CATEGORICAL_FEATURES, key=len, reverse=True)
-    source = F.regexp_extract("feature", "^(" + "|".join(inputs) + ")", 1)
-    return df.withColumn("source_column", source) \
-        .orderBy(F.desc("importance"), "feature").limit(top)
+    return df.withColumn("source_column", F.regexp_extract("feature", "^(" + "|".join(inputs) + ")", 1))
+
+
+def feature_importance(model: PipelineModel, encoder: PipelineModel, spark, top: int = 15) -> DataFrame:
+    """The ``top`` named importances, largest first."""
+    return all_importances(model, encoder, spark).orderBy(F.desc("importance"), "feature").limit(top)
 
 
 def importance_by_source(model: PipelineModel, encoder: PipelineModel, spark) -> DataFrame:
     """Share of total importance per input column (e.g. shipping mode)."""
-    full = feature_importance(model, encoder, spark, top=10_000)
-    return full.groupBy("source_column").agg(F.round(F.sum("importance"), 4).alias("share"))
+    every = all_importances(model, encoder, spark)
+    return every.groupBy("source_column").agg(F.round(F.sum("importance"), 4).alias("share"))
 
 
 def compare_models(rows: list[DataFrame]) -> DataFrame:

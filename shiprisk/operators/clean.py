@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shiprisk import config
 from shiprisk.schemas import (
-    INT_COLUMNS, JUNK_COLUMNS, NULL_FILLS, NUMERIC_TYPES, PII_COLUMNS, TIMESTAMP_COLUMNS,
+    INT_COLUMNS, KEY_COLUMNS, JUNK_COLUMNS, NULL_FILLS, NUMERIC_TYPES, PII_COLUMNS, TIMESTAMP_COLUMNS,
 )
 
 _NON_ALNUM = re.compile(r"[^a-z0-9]+")
@@ -48,7 +48,8 @@ def drop_junk(df: DataFrame, cols: list[str] = JUNK_COLUMNS) -> DataFrame:
 
 def default_types() -> dict[str, T.DataType]:
     """The silver cast lists: 15 integer and 12 exact-decimal columns."""
-    return {**{c: T.IntegerType() for c in INT_COLUMNS}, **NUMERIC_TYPES}
+    whole = {c: T.LongType() if c in KEY_COLUMNS else T.IntegerType() for c in INT_COLUMNS}
+    return {**whole, **NUMERIC_TYPES}
 
 
 def cast_columns(df: DataFrame, types: dict[str, T.DataType] | None = None,
@@ -57,6 +58,7 @@ def cast_columns(df: DataFrame, types: dict[str, T.DataType] | None = None,
 
     ``on_error="fail"`` uses ANSI casts (a bad value stops the job, as the
     original did); ``"null"`` uses ``try_cast`` (bad values become NULL).
+    Whole numbers written with a zero fraction (``725.0``) are whole numbers.
     """
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
@@ -66,6 +68,8 @@ def cast_columns(df: DataFrame, types: dict[str, T.DataType] | None = None,
         col = F.col(f"`{c}`")
         if c not in types:
             return col
+        if isinstance(types[c], T.IntegralType) and isinstance(df.schema[c].dataType, T.StringType):
+            col = F.regexp_replace(col, r"\.0+\s*$", "")
         casted = col.cast(types[c]) if on_error == "fail" else col.try_cast(types[c])
         return casted.alias(c)
 
@@ -131,19 +135,20 @@ def project_rename(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def dedupe_by_key(df: DataFrame, key: str, order_by: str) -> DataFrame:
     """One row per key: the row with the smallest ``order_by`` value.
 
-    ``min_by`` over a struct of the other columns is a hash aggregate with a
-    map-side partial step, so a key that holds a third of all rows is
-    reduced to one row per task before the shuffle.
+    The order is total: rows without an order value come last and ties go by
+    the other columns, so the same row is kept however the data is split.
+    ``min`` over one packed struct is an aggregate with a map-side partial
+    step: a key that holds a third of all rows is reduced to one row per task
+    before the shuffle.
     """
-    rest = [c for c in df.columns if c != key]
-    packed = F.struct(*[F.col(f"`{c}`") for c in rest])
-    order = F.col(f"`{order_by}`") if order_by in df.columns else None
-    if order is None:
+    if order_by not in df.columns:
         raise ValueError(f"order column {order_by!r} not in frame")
-    return (
-        df.groupBy(key).agg(F.min_by(packed, order).alias("_row"))
-        .select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
-    )
+    rest = [c for c in df.columns if c not in (key, order_by)]
+    packed = F.struct(F.col(f"`{order_by}`").isNull().alias("_late"), F.col(f"`{order_by}`").alias("_order"),
+                      *[F.col(f"`{c}`") for c in rest])
+    kept = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(packed).alias("_row"))
+    place = {key: F.col("_key"), order_by: F.col("_row._order")}
+    return kept.select(*[place.get(c, F.col(f"_row.`{c}`")).alias(c) for c in df.columns])
 
 
 def clean(bronze: DataFrame, types: dict[str, T.DataType] | None = None,
@@ -163,6 +168,11 @@ def clean(bronze: DataFrame, types: dict[str, T.DataType] | None = None,
     return add_delay_days(out)
 
 
+def filled(typed: DataFrame) -> DataFrame:
+    """Typed rows without junk columns, nulls filled, repeated rows still in."""
+    return add_delay_days(fill_nulls(drop_junk(typed)))
+
+
 def clean_typed(typed: DataFrame) -> DataFrame:
     """Cleaning of rows that arrive already typed (no casts or parsing)."""
-    return add_delay_days(drop_exact_duplicates(fill_nulls(drop_junk(typed))))
+    return drop_exact_duplicates(filled(typed))

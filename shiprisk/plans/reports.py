@@ -47,15 +47,21 @@ def top_k(df: DataFrame, k: int, metric: str, keys: list[str], ascending=False)
     return df.orderBy(m, *[F.col(k_).asc() for k_ in keys]).limit(k)
 
 
+def by_rate(df: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """Largest metric first, ties by the keys (a sort of the grouped rows only)."""
+    return df.orderBy(F.col(metric).desc_nulls_last(), *keys)
+
+
 # ----------------------------------------------------------------- Q1 - Q10
 
 def late_rate_by_mode(t: SupplyTables) -> DataFrame:
     """Q1: late rate by shipping mode."""
-    return (
+    rates = (
         t.star("shipments").groupBy("shipping_mode").agg(*_late_counts())
         .select("shipping_mode", "total_shipments", "late_shipments",
                 rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"))
     )
+    return by_rate(rates, "late_rate_pct", "shipping_mode")
 
 
 def worst_regions(t: SupplyTables, min_shipments: int = config.MIN_SHIPMENTS,
@@ -72,11 +78,12 @@ def worst_regions(t: SupplyTables, min_shipments: int = config.MIN_SHIPMENTS,
 
 def late_rate_by_category(t: SupplyTables) -> DataFrame:
     """Q3: late rate by category name (equal names merge across departments)."""
-    return (
+    rates = (
         t.star("order_items", "products", "categories", "shipments")
         .groupBy("category_name").agg(*_late_counts())
         .withColumn("late_rate_pct", rate_pct("late_shipments", "total_shipments"))
     )
+    return by_rate(rates, "late_rate_pct", "category_name")
 
 
 def monthly_trend(t: SupplyTables, cutoff: str | None = None,
@@ -90,6 +97,7 @@ def monthly_trend(t: SupplyTables, cutoff: str | None = None,
                    F.month("order_date").alias("order_month"))
         .agg(distinct_orders(approx_rsd),
              money(F.sum("sales")).alias("total_revenue"))
+        .orderBy("order_year", "order_month")
     )
 
 
@@ -115,6 +123,7 @@ def discount_vs_late(t: SupplyTables) -> DataFrame:
                 ratio_round("sum_quantity", "total_shipments").alias("avg_quantity"),
                 "late_shipments",
                 rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"))
+        .orderBy(F.col("late_rate_pct").desc_nulls_last(), "discount_bucket")
     )
 
 
@@ -128,6 +137,7 @@ def market_profit_vs_late(t: SupplyTables, cutoff: str | None = None) -> DataFra
         .agg(money(F.sum("profit_per_order")).alias("total_profit"), *_late_counts())
         .select("market", "total_profit", "total_shipments",
                 rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"))
+        .orderBy(F.col("total_profit").desc_nulls_last(), "market")
     )
 
 
@@ -156,6 +166,7 @@ def weekday_volume(t: SupplyTables, cutoff: str | None = None,
         df.groupBy(weekday_name("order_date").alias("order_weekday"))
         .agg(distinct_orders(approx_rsd),
              money(F.sum("sales")).alias("total_revenue"))
+        .orderBy(F.col("total_orders").desc(), "order_weekday")
     )
 
 
@@ -194,7 +205,7 @@ def monthly_volume_check(t: SupplyTables) -> DataFrame:
         "order_month", "total_orders",
         (F.col("avg_cents").cast("double") / 100.0).alias("avg_line_item_sales"),
         (F.col("revenue_cents").cast("double") / 100.0).alias("total_revenue"),
-    )
+    ).orderBy("order_month")
 
 
 def price_anomaly_months(t: SupplyTables, max_order_change_pct: float = 10.0,
@@ -253,6 +264,7 @@ def mom_revenue_change(flat: DataFrame, cutoff: str = config.DATA_CUTOFF) -> Dat
             (F.col("prev_c").cast("double") / 100.0).alias("prev_month_revenue"),
             ratio_round("d_c", "prev_c", 2, 100).alias("mom_change_pct"),
         )
+        .orderBy("order_month")
     )
 
 
@@ -291,78 +303,52 @@ def category_rate_top15(flat: DataFrame, k: int = config.TOP_CATEGORIES) -> Data
 def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of numeric columns, long form, 2 decimals.
 
-    One aggregate pass collects n, the column sums and the cross-product
-    sums of each unordered pair (k + k(k+1)/2 + 1 plain sums: a small,
-    code-generated aggregation buffer, unlike one ``corr`` state per cell);
-    the k x k matrix is then formed from those moments in a projection.
-    Zero variance gives NULL.
+    One aggregate with a ``corr`` per unordered pair: each skips the rows
+    where either column is NULL and updates centred moments, so large means
+    don't cancel.  The diagonal is 1; a constant column gives NULL.
     """
+    from itertools import combinations
+
     from shiprisk.schemas import CORRELATION_COLUMNS
 
     cols = columns or CORRELATION_COLUMNS
-    # Cast once in a projection (the optimizer keeps it, as each cast is
-    # used many times) so the aggregate multiplies plain doubles and stays
-    # inside whole-stage code generation.
     casted = flat.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    x = {c: F.col(c) for c in cols}
-    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
-    aggs += [F.sum(x[c]).alias(f"s_{i}") for i, c in enumerate(cols)]
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(x[a] * x[cols[j]]).alias(f"p_{i}_{j}"))
-    moments = casted.agg(*aggs)
-
-    # One row per (x, y) cell carrying the moments it needs, then a single
-    # correlation formula applied row-wise (small generated code).
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            cells.append(F.struct(
-                F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
-                F.col(f"s_{i}").alias("sx"), F.col(f"s_{j}").alias("sy"),
-                F.col(f"p_{lo}_{hi}").alias("sxy"), F.col(f"p_{i}_{i}").alias("sxx"),
-                F.col(f"p_{j}_{j}").alias("syy")))
-    n = F.col("n")
-    cov_xy = n * F.col("c.sxy") - F.col("c.sx") * F.col("c.sy")
-    var_x = n * F.col("c.sxx") - F.col("c.sx") * F.col("c.sx")
-    var_y = n * F.col("c.syy") - F.col("c.sy") * F.col("c.sy")
-    denom = F.sqrt(var_x * var_y)
+    found = casted.agg(
+        *[F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(cols, 2)],
+        *[F.when(F.var_pop(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in cols])
+    cells = [F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
+                      F.col("|".join(sorted((a, b), key=cols.index))).alias("value"))
+             for a in cols for b in cols]
+    value = F.col("c.value")
     return (
-        moments.select("n", F.explode(F.array(*cells)).alias("c"))
+        found.select(F.explode(F.array(*cells)).alias("c"))
         .select("c.column_x", "c.column_y",
-                F.round(F.when(denom > 0, cov_xy / denom), 2).alias("correlation"))
+                F.round(F.when(~F.isnan(value), value), 2).alias("correlation"))
     )
 
 
 def kpi_summary(flat: DataFrame) -> DataFrame:
     """K1: total orders, revenue, overall late rate, busiest shipping mode.
 
-    One aggregate: the distinct order count is planned as Spark's distinct
-    aggregate rewrite, and the busiest mode is the deterministic statistical
-    mode (most shipments, ties to the smallest name), whose state holds one
-    counter per distinct mode.
+    Rows are first reduced to one per mode (sums and counts; the busiest mode
+    has the most shipments, ties to the smallest name); distinct orders are
+    counted separately, so only order ids are shuffled for them.
     """
-    return (
-        flat.agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            money(F.sum("sales")).alias("total_revenue"),
-            F.count(F.lit(1)).alias("total_shipments"),
-            F.sum("late_delivery_risk").cast("bigint").alias("late_shipments"),
-            F.mode("shipping_mode", deterministic=True).alias("top_shipping_mode"),
-        )
-        .select("total_orders", "total_revenue", "total_shipments",
-                rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"),
-                "top_shipping_mode")
-    )
-
-
-def late_rate_by_country(flat: DataFrame) -> DataFrame:
-    """K2: late rate per order country (no minimum)."""
-    return (
-        flat.groupBy("order_country").agg(*_late_counts())
-        .withColumn("late_rate_pct", rate_pct("late_shipments", "total_shipments"))
-    )
+    modes = flat.groupBy("shipping_mode").agg(
+        F.sum("sales").alias("sales"), F.count(F.lit(1)).alias("n"),
+        F.sum("late_delivery_risk").cast("bigint").alias("late"))
+    totals = modes.agg(
+        money(F.sum("sales")).alias("total_revenue"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_shipments"),
+        F.sum("late").alias("late_shipments"),
+        F.min(F.when(F.col("shipping_mode").isNotNull(), F.struct(
+            (-F.col("n")).alias("n"), F.col("shipping_mode").alias("mode")))).alias("busiest"))
+    orders = flat.agg(F.countDistinct("order_id").alias("total_orders"))
+    # One row on either side.
+    both = totals.withColumn("one", F.lit(1)).join(orders.withColumn("one", F.lit(1)), "one")
+    return both.select("total_orders", "total_revenue", "total_shipments",
+                       rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"),
+                       F.col("busiest.mode").alias("top_shipping_mode"))
 
 
 def spread_dimensions() -> dict:

@@ -21,6 +21,12 @@ def guard_verdict(s, d):
         "event_id", sqlguard.guard_verdict(sqlguard.extract_sql("raw_text")).alias("verdict"))
 
 
+def statement_check(s, d):
+    """Every statement accepted, or refused with the reason."""
+    return _statements(s, d).select(
+        "event_id", sqlguard.statement_check(sqlguard.extract_sql("raw_text")).alias("verdict"))
+
+
 GUARDED_EXAMPLE = """```sql
 SELECT p.product_name, s.shipping_mode, count(*) AS total_shipments,
        sum(s.late_delivery_risk) AS late_shipments
@@ -47,4 +53,5 @@ def preview(s, d):
 
 def guard_queries() -> dict:
     return {"extract_sql": extract_sql, "guard_verdict": guard_verdict,
+            "statement_check": statement_check,
             "guarded_sql": guarded_sql, "preview": preview}

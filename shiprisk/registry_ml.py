@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiprisk.ml import evaluate, features, split, train
-from shiprisk.session import apply_defaults, work_dir
+from shiprisk.session import app_id, apply_defaults, work_dir
 from shiprisk.sources import silver
 
-# Smoke-size forests for the registered jobs; the library default is 200 x 12.
-SMOKE_TREES, SMOKE_DEPTH = 20, 6
+# (application, source folder, balanced) -> fitted model, its encoder and the encoded test rows.
+_FITTED: dict[tuple, tuple] = {}
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
@@ -52,54 +52,73 @@ def roc_auc(s, d):
     return evaluate.roc_auc(train.rule_scores(_split(s, d)))
 
 
-def _metrics(kind: str):
-    def run(s, d):
+def _forest(s: SparkSession, d: str, balanced: bool = False) -> tuple:
+    """The forest at full size (200 trees of depth 12), fitted once an application."""
+    key = (app_id(s), d, balanced)
+    if key not in _FITTED:
         prep = train.prepare(_split(s, d))
-        if kind == "logreg":
-            model = train.train_logreg(prep)
-        else:
-            model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH, balanced=(kind == "rf_weighted"))
+        model = train.train_forest(prep, balanced=balanced)
         prep.release()
-        return train.metrics_row(kind, train.score_encoded(model, prep.test))
-    return run
+        _FITTED[key] = (model, prep.encoder, prep.test)
+    return _FITTED[key]
 
 
-def score_delivery_risk(s, d):
+def _logreg(s: SparkSession, d: str) -> tuple:
     prep = train.prepare(_split(s, d))
-    model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH)
+    model = train.train_logreg(prep)
     prep.release()
-    return train.score_encoded(model, prep.test)
+    return model, prep.encoder, prep.test
+
+
+def _metrics(kind: str):
+    def run(s, d):
+        model, _, test = _logreg(s, d) if kind == "logreg" else _forest(s, d, kind == "rf_weighted")
+        return train.metrics_row(kind, train.score_encoded(model, test))
+    return run
+
+
+def score_delivery_risk(s, d):
+    model, _, test = _forest(s, d)
+    return train.score_encoded(model, test)
+
+
+def scored_rows(s, d):
+    """What of the scoring doesn't depend on the trees: ids, labels, class and score in range."""
+    model, _, test = _forest(s, d)
+    out = train.score_encoded(model, test)
+    fine = F.col("score").between(0, 1) & (F.col("prediction") == (F.col("score") > 0.5).cast("int"))
+    return out.select(features.ID, "label", (fine | (F.col("score") == 0.5)).alias("consistent"))
 
 
 def feature_importance(s, d):
-    prep = train.prepare(_split(s, d))
-    model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH)
-    prep.release()
-    return train.feature_importance(model, prep.encoder, s)
+    model, encoder, _ = _forest(s, d)
+    return train.feature_importance(model, encoder, s)
+
+
+def importance_by_source(s, d):
+    model, encoder, _ = _forest(s, d)
+    return train.importance_by_source(model, encoder, s)
+
+
+def importance_total(s, d):
+    """Features of the model, and that their importances sum to 1."""
+    model, encoder, _ = _forest(s, d)
+    every = train.all_importances(model, encoder, s)
+    return every.agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 def model_comparison(s, d):
-    sp = _split(s, d)
-    prep = train.prepare(sp)
-    rows = [train.metrics_row("rule_by_mode", train.rule_scores(sp)),
-            train.metrics_row("logreg", train.score_encoded(train.train_logreg(prep), prep.test))]
-    for name, balanced in [("rf", False), ("rf_weighted", True)]:
-        m = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH, balanced=balanced)
-        rows.append(train.metrics_row(name, train.score_encoded(m, prep.test)))
-    prep.release()
-    return train.compare_models(rows)
+    rows = [train.metrics_row("rule_by_mode", train.rule_scores(_split(s, d)))]
+    return train.compare_models(rows + [_metrics(kind)(s, d) for kind in ("logreg", "rf", "rf_weighted")])
 
 
 def model_roundtrip(s, d):
     """Save the fitted pipeline to shared storage, load it, score raw rows."""
-    sp = _split(s, d)
-    prep = train.prepare(sp)
-    model = train.train_forest(prep, SMOKE_TREES, SMOKE_DEPTH)
-    prep.release()
+    model, _, _ = _forest(s, d)
     path = work_dir(s, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    return train.score(loaded, sp.where(F.col("split") == "test"))
+    return train.score(loaded, _split(s, d).where(F.col("split") == "test"))
 
 
 def queries() -> dict:
@@ -115,7 +134,10 @@ def queries() -> dict:
         "rf_metrics": _metrics("rf"),
         "rf_weighted_metrics": _metrics("rf_weighted"),
         "score_delivery_risk": score_delivery_risk,
+        "scored_rows": scored_rows,
         "feature_importance": feature_importance,
+        "importance_by_source": importance_by_source,
+        "importance_total": importance_total,
         "model_comparison": model_comparison,
         "model_roundtrip": model_roundtrip,
     }

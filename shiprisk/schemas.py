@@ -82,6 +82,9 @@ INT_COLUMNS = [
     "order_customer_id", "order_id", "order_item_cardprod_id", "order_item_id",
     "order_item_quantity", "product_card_id", "product_category_id", "product_status",
 ]
+# Row-level keys of the cast list: 64-bit, as line items pass 2**31 at scale.
+KEY_COLUMNS = ["customer_id", "order_customer_id", "order_id", "order_item_cardprod_id", "order_item_id",
+               "product_card_id"]
 NUMERIC_COLUMNS = [
     "benefit_per_order", "sales_per_customer", "latitude", "longitude",
     "order_item_discount", "order_item_discount_rate", "order_item_product_price",
@@ -190,25 +193,25 @@ FOREIGN_KEYS = [
 DEDUPE_ORDER = "order_item_id"
 DEDUPED_TABLES = ["categories", "products", "customers", "orders"]
 
-_S, _I, _TS = T.StringType(), T.IntegerType(), T.TimestampNTZType()
+_S, _I, _L, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampNTZType()
 
-# Declared column types of the six tables (the DDL contracts).
+# FIXED VALUES: declared column types of the six tables (the DDL contracts).
 TABLE_TYPES = {
     "categories": {"category_id": _I, "category_name": _S, "department_id": _I, "department_name": _S},
-    "products": {"product_card_id": _I, "product_name": _S, "product_price": MONEY,
+    "products": {"product_card_id": _L, "product_name": _S, "product_price": MONEY,
                  "product_status": _I, "category_id": _I},
-    "customers": {"customer_id": _I, "first_name": _S, "last_name": _S, "email": _S, "segment": _S,
+    "customers": {"customer_id": _L, "first_name": _S, "last_name": _S, "email": _S, "segment": _S,
                   "city": _S, "state": _S, "street": _S, "country": _S, "zipcode": _S},
-    "orders": {"order_id": _I, "customer_id": _I, "order_date": _TS, "order_status": _S,
+    "orders": {"order_id": _L, "customer_id": _L, "order_date": _TS, "order_status": _S,
                "order_region": _S, "order_state": _S, "order_city": _S, "order_country": _S,
                "order_zipcode": _S, "market": _S, "payment_type": _S,
                "latitude": COORD, "longitude": COORD},
-    "order_items": {"order_item_id": _I, "order_id": _I, "product_card_id": _I, "quantity": _I,
+    "order_items": {"order_item_id": _L, "order_id": _L, "product_card_id": _L, "quantity": _I,
                     "product_price": MONEY, "discount": MONEY, "discount_rate": RATE,
                     "profit_ratio": RATIO, "sales": MONEY, "order_item_total": MONEY,
                     "profit_per_order": MONEY, "benefit_per_order": MONEY,
                     "sales_per_customer": MONEY},
-    "shipments": {"order_item_id": _I, "shipping_date": _TS, "shipping_mode": _S,
+    "shipments": {"order_item_id": _L, "shipping_date": _TS, "shipping_mode": _S,
                   "delivery_status": _S, "days_for_shipping_real": _I,
                   "days_for_shipment_scheduled": _I, "late_delivery_risk": _I},
 }
@@ -237,7 +240,7 @@ POST_DISPATCH_COLUMNS = [
     "late_delivery_risk",
 ]
 
-# Nine numeric columns of the correlation matrix (E4), flat silver names.
+# FIXED VALUES: nine numeric columns of the correlation matrix (E4), flat silver names.
 CORRELATION_COLUMNS = [
     "days_for_shipping_real", "days_for_shipment_scheduled", "benefit_per_order",
     "sales_per_customer", "late_delivery_risk", "order_item_discount_rate",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,8 +52,9 @@ def shared_root(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is read, never
-    replaced.  Only when it is unset (local tests) a private folder is made
-    and registered, so checkpoint() and table writes have somewhere to go.
+    replaced.  Only when it is unset on a local master (tests) a private
+    folder is made and registered; elsewhere that is an error, as a folder of
+    one machine is no place for tables that all executors read.
     """
     try:
         sc = spark.sparkContext
@@ -69,6 +71,9 @@ def shared_root(spark: SparkSession) -> str:
         if sc is not None:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="shiprisk-")
     if sc is not None:
         sc.setCheckpointDir(local)

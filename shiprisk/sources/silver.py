@@ -24,10 +24,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from shiprisk.model import SupplyTables
-from shiprisk.schemas import TABLE_NAMES
+from shiprisk.operators.clean import project_rename
+from shiprisk.schemas import TABLE_COLUMNS, TABLE_NAMES
 from shiprisk.session import app_id, work_dir
 from shiprisk.sources import testbed
 
+# Tables with a row per line item and no column that the flat table lacks.
+FLAT_PROJECTIONS = ["order_items", "shipments"]
+
 BUCKET_KEYS = {"order_items": "order_item_id", "shipments": "order_item_id", "orders": "order_id"}
 
 
@@ -43,26 +47,30 @@ def _prefix_for(root: str) -> str:
     return tail if tail.startswith("silver") else f"silver_{tail}"
 
 
+# Line items a bucket is planned for.
+BUCKET_ROWS = 1_000_000
+
+
 def write_silver(flat: DataFrame, tables: SupplyTables, root: str,
                  buckets: int | None = None, concurrency: int = 4) -> SilverLayout:
-    """Persist the flat table and the six tables under ``root``.
-
-    ``buckets`` (default: the session's shuffle partitions) sets the bucket
-    count of the fact tables; 0 writes plain Parquet only.  The seven writes
-    are independent jobs and are submitted from ``concurrency`` driver
-    threads, so small tables do not wait behind the big ones and the
-    cluster stays busy.
+    """Persist the flat table, then the six tables, under ``root``.
+
+    Item and shipment rows are projections of the written flat table, so the
+    joins behind it run once.  ``buckets`` sets the bucket count of the fact
+    tables; by default it follows from the rows written (``BUCKET_ROWS`` a
+    bucket, the session's shuffle partitions at least), so buckets stay of one
+    size as the data grows; 0 writes plain Parquet only.  The table writes are
+    independent jobs, submitted from ``concurrency`` driver threads.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     spark = flat.sparkSession
+    flat.sortWithinPartitions("order_date").write.mode("errorifexists").parquet(f"{root}/flat")
+    written = spark.read.parquet(f"{root}/flat")
     if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // BUCKET_ROWS))
     prefix = _prefix_for(root) if buckets else ""
-
-    def write_flat() -> None:
-        (flat.sortWithinPartitions("order_date").write.mode("errorifexists")
-         .parquet(f"{root}/flat"))
+    frames = tables.as_dict() | {t: project_rename(written, TABLE_COLUMNS[t]) for t in FLAT_PROJECTIONS}
 
     def write_table(name: str, df: DataFrame) -> None:
         path = f"{root}/{name}"
@@ -74,7 +82,7 @@ def write_silver(flat: DataFrame, tables: SupplyTables, root: str,
         else:
             df.write.mode("errorifexists").parquet(path)
 
-    jobs = [write_flat] + [(lambda n=n, d=d: write_table(n, d)) for n, d in tables.as_dict().items()]
+    jobs = [(lambda n=n, d=d: write_table(n, d)) for n, d in frames.items()]
     with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
         for future in [pool.submit(job) for job in jobs]:
             future.result()  # re-raise the first failure

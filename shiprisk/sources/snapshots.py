@@ -47,7 +47,9 @@ class SnapshotStore:
         try:
             log = self.spark.read.schema(LOG_SCHEMA).json(self._path(name, "_log"))
             return log.select("version", "committed_at", "operation", "n_rows")
-        except AnalysisException:
+        except AnalysisException as exc:  # only a missing log means "no versions"
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
     def latest_version(self, name: str) -> int | None:

@@ -3,93 +3,72 @@
 The original runs the medallion job as a batch over one file.  When raw
 order-line files keep arriving, the same cleaning runs per micro-batch:
 
-* the file source reads new raw CSV files (all columns text, as bronze);
+* the file source reads the new raw CSV files (all columns text, as bronze);
 * columns are renamed to snake_case and typed exactly as in batch;
-* exact duplicates re-sent within ``dedupe_window`` (event time = order
-  date) are dropped with ``dropDuplicatesWithinWatermark``; its state is
-  bounded by the watermark;
-* the gold shipping-risk table is a streaming aggregate (state: one row
-  per mode x market x region) written after every micro-batch as a new
-  version of a snapshot table via ``foreachBatch``.
-
-Progress and state live in the checkpoint folder under the shared root, so
-a restarted query resumes where it stopped.
+* each micro-batch's typed rows are staged under a folder named by the batch
+  id (a replayed batch replaces its own folder);
+* the gold shipping-risk table is the batch job over all staged rows: exact
+  duplicates are dropped whenever they were sent, and nothing is too late.
+  It is saved as the version of that batch id.
+
+The stream keeps no state of its own; progress lives in the checkpoint folder
+under the shared root, so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiprisk import config
-from shiprisk.functions.rounding import rate_pct, ratio_round
 from shiprisk.operators import clean
+from shiprisk.plans.gold import gold_shipping_risk
 from shiprisk.schemas import RAW_HEADERS
 from shiprisk.sources.snapshots import SnapshotStore
 
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(h, T.StringType()) for h in RAW_HEADERS])
 
 
-def read_raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 1,
+def read_raw_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None,
                     encoding: str = config.RAW_ENCODING) -> DataFrame:
-    """New raw CSV files under ``path`` as a stream of text rows."""
-    raw = (
+    """New raw CSV files under ``path`` as a stream of text rows (by default all
+    files present form one micro-batch)."""
+    reader = (
         spark.readStream.schema(RAW_TEXT_SCHEMA)
         .option("header", True).option("encoding", encoding)
         .option("quote", '"').option("escape", '"')
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .csv(path)
     )
-    return clean.snake_case_columns(raw)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return clean.snake_case_columns(reader.csv(path))
 
 
-def silver_stream(bronze: DataFrame, types: dict, timestamps: dict,
-                  dedupe_window: str = "3650 days") -> DataFrame:
-    """Typed, filled, de-duplicated rows with delay_days (flat, no PII)."""
-    typed = clean.fill_nulls(clean.parse_timestamps(
+def typed_rows(bronze: DataFrame, types: dict, timestamps: dict) -> DataFrame:
+    """Typed rows with nulls filled, before any dedupe."""
+    return clean.fill_nulls(clean.parse_timestamps(
         clean.cast_columns(clean.drop_junk(bronze), types), timestamps))
-    # Watermarks need a zoned TIMESTAMP: the wall-clock order date read as
-    # UTC (the session zone) serves as event time.
-    with_time = typed.withColumn("_event_time", F.col("order_date").cast("timestamp"))
-    deduped = (with_time.withWatermark("_event_time", dedupe_window)
-               .dropDuplicatesWithinWatermark().drop("_event_time"))
-    return clean.drop_pii(clean.add_delay_days(deduped))
-
-
-def shipping_risk_state(silver: DataFrame) -> DataFrame:
-    """Running totals per mode x market x region (the streaming state)."""
-    return silver.groupBy("shipping_mode", "market", "order_region").agg(
-        F.count(F.lit(1)).alias("total_shipments"),
-        F.sum("late_delivery_risk").cast("bigint").alias("late_shipments"),
-        F.sum("delay_days").cast("bigint").alias("_delay"))
-
-
-def finish_shipping_risk(state: DataFrame) -> DataFrame:
-    return state.select(
-        "shipping_mode", "market", "order_region", "total_shipments", "late_shipments",
-        rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"),
-        ratio_round("_delay", "total_shipments").alias("avg_delay_days"))
 
 
 def run_gold_refresh(spark: SparkSession, raw_path: str, store: SnapshotStore, checkpoint: str,
                      types: dict, timestamps: dict, table: str = "gold_shipping_risk",
-                     files_per_trigger: int = 1) -> int:
+                     files_per_trigger: int | None = None) -> int:
     """Process every file present now (availableNow), one version per batch.
 
     Returns the number of versions written.
     """
-    state = shipping_risk_state(silver_stream(
-        read_raw_stream(spark, raw_path, files_per_trigger), types, timestamps))
+    rows = typed_rows(read_raw_stream(spark, raw_path, files_per_trigger), types, timestamps)
+    staged = f"{checkpoint}-rows"
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # version = batch id: a micro-batch replayed after a failure finds
-        # its version committed and is not written twice.
-        store.save(finish_shipping_risk(batch), table, operation="STREAMING UPDATE",
-                   version=batch_id)
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{staged}/batch={batch_id}")
+        so_far = session.read.schema(batch.schema).parquet(
+            *[f"{staged}/batch={i}" for i in range(batch_id + 1)])
+        silver = clean.drop_pii(clean.add_delay_days(clean.drop_exact_duplicates(so_far)))
+        store.save(gold_shipping_risk(silver), table, operation="STREAMING UPDATE", version=batch_id)
 
     query = (
-        state.writeStream.outputMode("complete")
+        rows.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(publish)
         .trigger(availableNow=True)
