@@ -22,7 +22,7 @@ _WS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+"
                      rf"|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 # The same cuts but for those between letters and digits, for the faster standard module.
-CHUNK = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\w{_WS}]+|_+)+"
+CHUNK = re.compile(rf" ?[^\W_]+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\w{_WS}]+|_+)+"
                    rf"|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 MEMO_CHUNKS = 500_000
@@ -63,6 +63,7 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.letter_of = dict(enumerate(byte_letters()))
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
         self.merged_list = self.merged.tolist()
         self.special_pattern = re.compile("|".join(

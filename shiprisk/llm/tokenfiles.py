@@ -7,12 +7,13 @@ is read by following at most four levels: chunk i, and if its bit is set, chunk
 rank(i) of the next level.  Nothing else is decoded.
 
 File format: Parquet in the shared folder, a row a segment of about
-``SEGMENT_TOKENS`` ids at document borders: part and seq (their order is the
-global order), n_tokens, doc_ids, ends (each document's end within the
+``SEGMENT_TOKENS`` ids at document borders: part and within, the ids before it in its
+part (their order is the global order), n_tokens, doc_ids, ends (each document's end within the
 segment) and the levels as binary columns.  Spark's committer writes them, so a
 lost executor leaves no half file.  Documents are range-sorted by doc_id (null
 first; repeated doc_ids by text), and a document's global start is its segment's
-base plus its place; bases are running sums over segment sizes only.
+base plus its place; the bases of parts are running sums over their sizes, one
+row a write task.
 
 Defined results: a null or empty text has only the end id; repeated rows are
 written one by one; an empty table gives an empty result; other columns are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +44,7 @@ SEGMENT_TOKENS = 1 << 18
 LEVELS = 4
 RANK_BITS = 512
 
-SCHEMA = ("part int, seq int, n_tokens long, doc_ids array<long>, ends array<long>, "
+SCHEMA = ("part int, within long, n_tokens long, doc_ids array<long>, ends array<long>, "
           + ", ".join(f"chunks{k} binary, bits{k} binary, ranks{k} binary" for k in range(LEVELS)))
 
 
@@ -117,22 +119,17 @@ def library_encoder(path: str) -> ChunkEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def each(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    line = int(each(["\n"])[0][0])
+    model, letters = tokenizer.model, vocabulary(path).letter_of
 
     def many(chunks: list[str]) -> list[bytes]:
-        # Words can be encoded together, a line break (always a token of its own there) between them.
-        words = [c for c in chunks if c.strip(" ").isalnum()]
-        rest = [c for c in chunks if not c.strip(" ").isalnum()]
-        out = dict(zip(rest, (a.tobytes() for a in each(rest))))
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            ids = each(["\n".join(some)])[0]
-            held, places = ids.tobytes(), np.nonzero(ids == line)[0].tolist()
-            for word, a, b in zip(some, [-1, *places], [*places, len(ids)]):
-                out[word] = held[4 * a + 4:4 * b]
+        out = {}
+        for c in chunks:  # one word of letters is one pre-token: only the model is needed
+            if c.lstrip(" ").isalpha():
+                found = model.tokenize(c.encode().decode("latin-1").translate(letters))
+                out[c] = array("I", [t.id for t in found]).tobytes()
+        rest = [c for c in chunks if c not in out]
+        for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[c] = array("I", e.ids).tobytes()
         return [out[c] for c in chunks]
 
     return ChunkEncoder(vocabulary(path), many)
@@ -144,11 +141,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = EN
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = library_encoder(tokenizer_path)
-        held, ids, size, seq, part = [], [], 0, 0, 0
+        held, ids, size, within, part = [], [], 0, 0, 0
 
         def flush() -> pd.DataFrame:
             ends = np.cumsum([len(a) for a in ids])
-            row = {"part": part, "seq": seq, "n_tokens": int(ends[-1]), "doc_ids": held, "ends": ends.tolist()}
+            row = {"part": part, "within": within, "n_tokens": int(ends[-1]), "doc_ids": held, "ends": ends.tolist()}
             row |= Codes.build(np.concatenate(ids)).columns()
             return pd.DataFrame({k: pd.Series([v]) for k, v in row.items()})
 
@@ -161,7 +158,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = EN
                 size += len(ids[-1])
                 if size >= segment_tokens:
                     yield flush()
-                    held, ids, size, seq = [], [], 0, seq + 1
+                    held, ids, size, within = [], [], 0, within + size
         if held:
             yield flush()
 
@@ -176,14 +173,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = EN
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Segments with ``base``, the ids in all segments before."""
     files = spark.read.schema(SCHEMA).parquet(folder)
-    sizes = files.select("part", "seq", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within"))
-    bases = sizes.join(parts, "part").select("part", "seq", (F.col("ahead") + F.col("within")).alias("base"))
-    return files.join(bases, ["part", "seq"])
+    # One small row a write task, so the segments needn't move.
+    return files.join(F.broadcast(parts), "part").withColumn("base", F.col("ahead") + F.col("within")).drop("ahead")
 
 
 def documents(segments: DataFrame) -> DataFrame:
