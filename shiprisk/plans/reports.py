@@ -110,6 +110,7 @@ def segment_profit_vs_late(t: SupplyTables, cutoff: str | None = None) -> DataFr
         df.groupBy("segment")
         .agg(money(F.sum("profit_per_order")).alias("total_profit"), *_late_counts())
         .withColumn("late_rate_pct", rate_pct("late_shipments", "total_shipments"))
+        .orderBy(F.col("total_profit").desc_nulls_last(), "segment")
     )
 
 
@@ -303,9 +304,9 @@ def category_rate_top15(flat: DataFrame, k: int = config.TOP_CATEGORIES) -> Data
 def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of numeric columns, long form, 2 decimals.
 
-    One aggregate with a ``corr`` per unordered pair: each skips the rows
-    where either column is NULL and updates centred moments, so large means
-    don't cancel.  The diagonal is 1; a constant column gives NULL.
+    One aggregate with centred moments per unordered pair, over the rows where
+    neither column is NULL; large means don't cancel.  The diagonal is 1; a
+    constant column gives NULL.
     """
     from itertools import combinations
 
@@ -313,17 +314,21 @@ def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     cols = columns or CORRELATION_COLUMNS
     casted = flat.select(*[F.col(c).cast("double").alias(c) for c in cols])
+
+    def pearson(a: str, b: str):
+        spread = (F.var_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+                  * F.var_pop(F.when(F.col(a).isNotNull(), F.col(b))))
+        return F.when(spread > 0, F.covar_pop(a, b) / F.sqrt(spread))
+
     found = casted.agg(
-        *[F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(cols, 2)],
+        *[pearson(a, b).alias(f"{a}|{b}") for a, b in combinations(cols, 2)],
         *[F.when(F.var_pop(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in cols])
     cells = [F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
                       F.col("|".join(sorted((a, b), key=cols.index))).alias("value"))
              for a in cols for b in cols]
-    value = F.col("c.value")
     return (
         found.select(F.explode(F.array(*cells)).alias("c"))
-        .select("c.column_x", "c.column_y",
-                F.round(F.when(~F.isnan(value), value), 2).alias("correlation"))
+        .select("c.column_x", "c.column_y", F.round("c.value", 2).alias("correlation"))
     )
 
 
