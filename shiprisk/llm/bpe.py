@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shiprisk.llm.common import table
+from shiprisk.llm.common import prepare, table
 from shiprisk.llm.pretokens import WORD, ChunkEncoder, Vocabulary, vocabulary
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -230,4 +230,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the digests of every document's tokens."""
+    prepare(spark)
     return round_trip(docs, public_tokenizers.path(TOKENIZER))

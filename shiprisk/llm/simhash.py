@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shiprisk.llm.common import materialise, sampled, table
+from shiprisk.llm.common import materialise, prepare, sampled, table
 from shiprisk.llm.components import components
 
 SHINGLE = 3
@@ -240,6 +240,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each component stays, the one with the least doc_id."""
+    prepare(spark)
     cols = docs.columns
     tagged = materialise(docs.select(
         F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), fingerprint_udf(SHINGLE)("text").alias("fp"),
