@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shiprisk.llm.common import materialise, table
+from shiprisk.llm.common import materialise, prepare, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -109,9 +109,10 @@ def base_failed(c: Column) -> Column:
 
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """row (the carried columns), c (the counts), failed, lang and source keys, and the statistics x0 to x3."""
+    """row (the carried columns, if any), c (the counts), failed, lang and source keys, and the statistics x0 to x3."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), key("lang").alias("by_lang"),
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(0)
+    out = docs.select(row.alias("row"), key("lang").alias("by_lang"),
                       key("source").alias("by_source"), counts_udf()("text").alias("c"))
     share = lambda a, b: F.col(f"c.{a}").cast("double") / F.greatest(F.col(f"c.{b}"), F.lit(1))
     stats = [F.log(F.greatest(share("word_chars", "n_words"), F.lit(1.0))), F.sqrt(share("n_symbols", "word_chars")),
@@ -214,6 +215,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         counts = counts.withColumn("upto", F.sum("n").over(by.orderBy("cell"))).withColumn(
             "all", F.sum("n").over(by))
         half = counts.filter(F.col("upto") >= F.col("all") * HALF).groupBy(*keys).agg(F.min("cell").alias("limit"))
+        half = materialise(half, "mcd-halves")  # its size is then known, so rows needn't move to meet it
         now = _estimates(_moments(far.join(half, keys).filter("cell <= limit")), consistency(HALF))
     best = now.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     best = now.join(best, ["group", "start"])
@@ -222,8 +224,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     return last.join(rows.groupBy("group").agg(F.count("*").alias("rows")), "group")
 
 
-def judge(stats: DataFrame) -> DataFrame:
-    """Adds distance and kept to measured(); ``stats`` is read several times, so it should be a written table."""
+def chosen_estimates(stats: DataFrame) -> DataFrame:
+    """The estimate to use for each by_lang and by_source of measured() rows.
+
+    ``stats`` is read several times, so it should be a written table.
+    """
     fit = stats.filter(~F.col("failed")).select("by_lang", "by_source", *X)
     source_group = F.concat_ws("\x1f", F.lit("s"), "by_lang", "by_source")
     lang_group = F.concat_ws("\x1f", F.lit("l"), "by_lang")
@@ -231,10 +236,14 @@ def judge(stats: DataFrame) -> DataFrame:
     found = estimates(fit.select(F.explode(levels).alias("group"), *X))
     named = stats.select("by_lang", "by_source").distinct().select(
         "by_lang", "by_source", F.posexplode(levels).alias("level", "group"))
-    chosen = named.join(found, "group").filter((F.col("rows") >= LEAST_GROUP) | (F.col("level") == 2))
+    usable = named.join(found, "group").filter((F.col("rows") >= LEAST_GROUP) | (F.col("level") == 2))
     best = F.min_by(F.struct(*M, *Q), "level").alias("e")
-    chosen = materialise(chosen.groupBy("by_lang", "by_source").agg(best).select("by_lang", "by_source", "e.*"),
-                         "mcd-chosen")
+    return materialise(usable.groupBy("by_lang", "by_source").agg(best).select("by_lang", "by_source", "e.*"),
+                       "mcd-chosen")
+
+
+def judge(stats: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Adds distance and kept to measured() rows."""
     out = stats.join(chosen, ["by_lang", "by_source"], "left").withColumn("distance", _distance())
     fits = F.coalesce(F.col("distance") <= chi2_quantile(KEEP, P), F.lit(True))
     return out.withColumn("kept", ~F.col("failed") & fits)
@@ -242,10 +251,16 @@ def judge(stats: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialise(measured(table(spark, sf_dir, "documents"), ["doc_id"]), "quality")
-    return judge(stats).select("row.doc_id", *[f"c.{c}" for c in COUNTS], F.col("failed").alias("base_failed"), "kept")
+    return judge(stats, chosen_estimates(stats)).select(
+        "row.doc_id", *[f"c.{c}" for c in COUNTS], F.col("failed").alias("base_failed"), "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go, the others stay as they are."""
-    stats = materialise(measured(docs, docs.columns), "quality")
-    return judge(stats).filter("kept").select("row.*")
+    """Pipeline stage: rejected documents go, the others stay as they are.
+
+    Only the statistics are written for the estimates; the documents are read
+    and counted a second time for the verdict, so no copy of the texts is kept.
+    """
+    prepare(spark)
+    chosen = chosen_estimates(materialise(measured(docs, []), "quality"))
+    return judge(measured(docs, docs.columns), chosen).filter("kept").select("row.*")
