@@ -182,3 +182,29 @@ def test_list_decoding_gives_all_exceeding_filters():
         lowest = min(every[i][f] for f in mine)
         assert mine == set(np.nonzero(every[i] >= lowest - 1e-12)[0]) or mine >= set(
             np.nonzero(every[i] >= code.height)[0])
+
+
+@pytest.mark.parametrize("exact", [1 << 14, 0])
+def test_embeddings_miss_no_pair_near_the_limit(spark, monkeypatch, exact):
+    """1,500 pairs just above the limit in one label, by all pairs and by the filters alone."""
+    prepare(spark)
+    monkeypatch.setattr(spherical, "EXACT", exact, raising=False)
+    rng = np.random.default_rng(8)
+    x, z = rng.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.931 * x + np.sqrt(1 - 0.931 ** 2) * z
+    held = [(2 * i + k, v.tolist(), 1) for i in range(1500) for k, v in enumerate((x[i], y[i]))]
+    got = spherical.near_duplicates(spark.createDataFrame(held, "vec_id long, embedding array<double>, label int"))
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got.collect()} == {(i, 1, i - i % 2) for i, _, _ in held}
+
+
+def test_embeddings_plan_keeps_the_miss_chance_at_a_million_rows():
+    codes = spherical.codes_for(1_000_000)
+    hits, turns = spherical.plan_for(64, codes)
+    x, y = spherical.random_pairs(np.random.default_rng(9), 3000, 64, 0.93)
+    none = np.ones(len(x), bool)
+    for turn in range(turns):
+        none &= spherical.apart(spherical.ProductCode(64, codes, hits=hits, seed=5, turn=turn), x, y)[0]
+    assert none.sum() <= 2
