@@ -1,8 +1,11 @@
 """Operator 4: secret scans with a randomness test battery, in native expressions only.
 
 Base spans come from three fixed patterns.  The method adds strings that pass
-for random: a candidate is a run of 20 or more code letters that holds a digit
-and a letter.  Its encoding (hex, base32, lower or upper alphanumeric, base64)
+for random: a candidate is a run of 20 or more code letters that holds a letter
+and either a digit, a capital after a small letter, or capitals alone; of a run
+that touches base spans, the parts outside them are judged by the same rule.
+Runs of small letters alone, or of capitals followed by small letters (plain
+words), are no candidates.  Its encoding (hex, base32, lower or upper alphanumeric, base64)
 is inferred from its letters, and three tests of the hypothesis "uniformly
 random over that alphabet" are made: chi-squared uniformity (Wilson-Hilferty
 tail), Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial
@@ -10,7 +13,7 @@ correlation.  The Bonferroni minimum of the three is the candidate's p-value.
 Within a text a Benjamini-Hochberg step with weights in proportion to length
 (long strings have more power) controls the false discoveries among the
 strings called non-random; those are dropped, the others become ``random``
-spans unless they overlap a base span.
+spans.
 
 Everything happens inside a row: no shuffle, no join, no Python.  Positions
 are code points, taken from the lengths of the pieces between matches.
@@ -35,8 +38,9 @@ ASSIGN_LEAST = 6
 
 KINDS = ("assign", "access", "hex", "random")
 
-#: A run of code letters, 20 or more, that holds a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: A run of code letters, 20 or more, that holds a digit, or a capital after a small letter, or no small letter.
+CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z+/_-]*+[a-z][a-z+/_-]*+[A-Z]|[A-Z+/_-]++(?![a-z]))"
+             r"[A-Za-z0-9+/_-]{20,}+={0,2}")
 
 ALPHA = 0.01
 
@@ -164,6 +168,25 @@ def _random(candidates: Column, alpha: float) -> Column:
                   ).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def _outside(c: Column, base: Column) -> Column:
+    """The parts of a candidate outside the base spans (ordered by start) that are candidates themselves."""
+    touching = F.filter(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+
+    def part(start: Column, stop: Column) -> Column:
+        word = F.substring(c["word"], start - c["start"] + 1, F.greatest(stop - start, F.lit(0)))
+        return F.struct(start.alias("start"), c["kind_no"].alias("kind_no"), stop.alias("stop"), word.alias("word"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"),
+                        F.concat(acc["out"], F.array(part(acc["at"], b["start"]))).alias("out"))
+
+    start = F.struct(c["start"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    parts = F.aggregate(touching, start, step, lambda acc: F.concat(
+        acc["out"], F.array(part(acc["at"], c["stop"]))))
+    return F.when(F.size(touching) == 0, F.array(c)).otherwise(
+        F.filter(parts, lambda p: p["word"].rlike(f"^{CANDIDATE}$")))
+
+
 def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
          alpha: float = ALPHA) -> DataFrame:
     """Carried columns (in struct ``row``), the text, and the sorted spans: base and all.
@@ -181,8 +204,9 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
                      _matches(t, CANDIDATE, 3).alias("candidates"))
     out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     has_letter = lambda c: c["word"].rlike("[A-Za-z]")
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    out = out.withColumn("candidates", F.filter("candidates", lambda c: has_letter(c) & apart(c)))
+    outside = F.flatten(F.transform("candidates", lambda c: _outside(c, F.col("base"))))
+    out = out.withColumn("candidates", F.filter(
+        F.when((F.size("base") > 0) & (F.size("candidates") > 0), outside).otherwise(F.col("candidates")), has_letter))
     out = out.withColumn("random", _random(F.col("candidates"), alpha))
     return out.withColumn("spans", F.array_sort(F.concat("base", "random")))
 

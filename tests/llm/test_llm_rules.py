@@ -335,3 +335,16 @@ def test_urls_without_labels_or_rows(spark, tmp_root):
     assert [r.verdict for r in urlfilter.judge(some).collect()] == ["allow"]
     folder = data.save(spark, tmp_root, pages=spark.createDataFrame([], PAGES))
     assert urlfilter.query(spark, folder).count() == 0
+
+
+def test_secrets_without_digits_and_beside_base_spans(spark):
+    prepare(spark)
+    mixed, capital = "kJxfQzxZavLmhPqRgtWbeYcNsdHs", "QZKVXJWBTGYHRMPFLDCNUAOIES"
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYZQ8hTkV2sL"
+    texts = [f"key {mixed} end", f"key {capital} end", f"id AKIA{'Q7R2T9W4X6Y8Z3B5'}/{key} end",
+             "donaudampfschifffahrtsgesellschaft Donaudampfschifffahrtsgesellschaft"]
+    df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], data.SCHEMA)
+    left = {r.doc_id: r.text for r in secrets.stage(spark, df, "").collect()}
+    assert left[0] == left[1] == "key [SECRET] end"
+    assert key not in left[2] and left[2] == "id [SECRET][SECRET] end"
+    assert left[3] == texts[3]
