@@ -4,7 +4,7 @@ Listed rules decide the urls they fit (the longest fitting rule wins).  Their
 verdicts are the labels from which Spark's FP-growth mines the token
 combinations of urls: host labels, path segments by place, file extension,
 query keys, fragment.  Rules ``tokens -> verdict`` below the least support or
-confidence are pruned.  The rest matches by an inverted index: every mined rule
+confidence are pruned; rules have no greatest length.  The rest matches by an inverted index: every mined rule
 is filed under its rarest token, a token set meets only the rules filed under
 its tokens, and the other tokens of the rule are then looked up.  The rule with
 the highest confidence, then support, then length decides; without any the
@@ -39,7 +39,6 @@ RULES = [
 DEFAULT = "allow"
 LEAST_SUPPORT = 0.01
 LEAST_CONFIDENCE = 0.8
-LONGEST = 4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,7 +78,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, *, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE,
-         longest: int = LONGEST) -> DataFrame:
+         longest: int | None = None) -> DataFrame:
     """(tokens, verdict) rows -> pruned rules (antecedent, verdict, confidence, hits, anchor)."""
     mark = "verdict="
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(mark), "verdict"))).alias("items"))
@@ -88,7 +87,8 @@ def mine(labelled: DataFrame, *, support: float = LEAST_SUPPORT, confidence: flo
     is_mark = lambda x: x.startswith(mark)
     plain = sets.filter(~F.exists("items", is_mark)).select(F.array_sort("items").alias("antecedent"),
                                                             F.col("freq").alias("seen"))
-    ruled = sets.filter(F.exists("items", is_mark) & F.size("items").between(2, longest + 1)).select(
+    fits = F.size("items") >= 2 if longest is None else F.size("items").between(2, longest + 1)
+    ruled = sets.filter(F.exists("items", is_mark) & fits).select(
         F.array_sort(F.filter("items", lambda x: ~is_mark(x))).alias("antecedent"),
         F.substring_index(F.array_max(F.filter("items", is_mark)), mark, -1).alias("verdict"),
         F.col("freq").alias("hits"))

@@ -348,3 +348,13 @@ def test_secrets_without_digits_and_beside_base_spans(spark):
     assert left[0] == left[1] == "key [SECRET] end"
     assert key not in left[2] and left[2] == "id [SECRET][SECRET] end"
     assert left[3] == texts[3]
+
+
+def test_mined_rules_of_five_tokens_decide(spark):
+    """Only all five tokens together say block; every four of them are below the least confidence."""
+    prepare(spark)
+    held = [(list("abcde"), "block")] * 30
+    held += [([t for t in "abcde" if t != x], "allow") for x in "abcde" for _ in range(10)]
+    rules = urlfilter.mine(spark.createDataFrame(held, "tokens array<string>, verdict string"))
+    sets = spark.createDataFrame([(list("abcdef"),)], "tokens array<string>")
+    assert [r.mined for r in urlfilter.decide(sets, rules).collect()] == ["block"]
