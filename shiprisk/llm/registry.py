@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiprisk.llm import (bpe, langid, mixing, quality, secrets, simhash, spherical, tokenfiles, toxicity,
-                          urlfilter)
+from shiprisk.llm import (bpe, langid, mixing, packing, prefixtrie, quality, secrets, simhash, spherical, tokenfiles,
+                          toxicity, urlfilter, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,11 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality.query,
         "op9_embeddings": spherical.query,
         "op10_mixing": mixing.query,
+        "op11_prefix_trie": prefixtrie.query,
+        "op12_whitening": whitening.query,
+        "op13_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_embeddings": spherical.SQL, "op10_mixing": mixing.SQL}
+    return {"op9_embeddings": spherical.SQL, "op10_mixing": mixing.SQL, "op11_prefix_trie": prefixtrie.SQL}

@@ -22,5 +22,5 @@ def test_matches_oracle(spark, name):
 
 def test_entry_has_one_query_per_operator_and_the_pipeline():
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries()
