@@ -66,10 +66,14 @@ def fold(col: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
+def sample_place(key: Column) -> Column:
+    """A row's place in [0, 1): by its key and a row number, so that rows of one key fall apart."""
+    name = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.monotonically_increasing_id().cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
 def sampled(df: DataFrame, key: Column, bound: int, rows: int) -> DataFrame:
-    """About ``bound`` of ``rows`` rows, chosen by a hash of ``key`` (all, if there are fewer)."""
+    """About ``bound`` of ``rows`` rows (all, if there are fewer), however many share a key."""
     share = min(1.0, bound / max(rows, 1))
-    if share >= 1.0:
-        return df
-    bits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10)
-    return df.filter(bits.cast("double") < F.lit(share * 2.0**32))
+    return df if share >= 1.0 else df.withColumn("sample_place", sample_place(key)).filter(
+        F.col("sample_place") < F.lit(share)).drop("sample_place")

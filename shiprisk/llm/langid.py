@@ -17,11 +17,12 @@ counted by Spark over a sample of about ``SAMPLE`` learning texts a language
 counted), and the filters are sized by the n-grams kept.
 
 Defined results: a null text, or one without a letter, gives ``und`` and score
-0; a text whose n-grams no filter holds, or learning rows without a single
-language, give ``und`` as well, with score 0; ties go to the first language by
-code point; a null lang is not learned; repeated rows are judged alike; an
-empty table gives an empty result; other columns are ignored, whatever their
-names.
+0; a text with letters whose n-grams no filter holds gets the language with the
+most learning rows (ties: the first by code point), score 0; without a single
+learned language there is none to name, and every text gives ``und``, score 0;
+ties go to the first language by code point; a null lang is not learned;
+repeated rows are judged alike; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shiprisk.llm.common import fold, materialise, table
+from shiprisk.llm.common import fold, materialise, sample_place, table
 
 SIZES = (2, 3, 4)
 SAMPLE = 1_500
@@ -94,9 +95,10 @@ class Filters:
     languages: list[str]
     planes: list[np.ndarray]
     false_positive: np.ndarray
+    usual: str = UNKNOWN  # for letters that no filter knows
 
     @classmethod
-    def build(cls, languages: list[str], members: list[np.ndarray]) -> Filters:
+    def build(cls, languages: list[str], members: list[np.ndarray], usual: str = UNKNOWN) -> Filters:
         """members: n-gram hashes of each language."""
         most = max([1, *map(len, members)])
         bits = 1 << max(10, int(np.ceil(np.log2(most * BITS_PER_GRAM))))
@@ -107,7 +109,7 @@ class Filters:
             for at in positions(hashes, bits):
                 planes[k // 64][at] |= mark
             fill[k] = np.count_nonzero(planes[k // 64] & mark) / bits
-        return cls(languages, planes, fill ** HASHES)
+        return cls(languages, planes, fill ** HASHES, usual)
 
     def shares(self, codes: np.ndarray) -> np.ndarray:
         """Corrected share of a text's n-grams that each language contains."""
@@ -133,7 +135,7 @@ class Filters:
             return UNKNOWN, 0.0
         share = self.shares(codes)
         best = int(share.argmax())
-        return (self.languages[best], float(share[best])) if share[best] > 0 else (UNKNOWN, 0.0)
+        return (self.languages[best], float(share[best])) if share[best] > 0 else (self.usual, 0.0)
 
 
 def learn(rows: DataFrame, *, sample: int = SAMPLE) -> Filters:
@@ -145,8 +147,8 @@ def learn(rows: DataFrame, *, sample: int = SAMPLE) -> Filters:
     languages = sorted(per)
     # One row a language: small against any text.
     shares = rows.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in per.items()], "lang string, take double")
-    at = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double")
-    chosen = rows.join(F.broadcast(shares), "lang").filter(at < F.col("take") * F.lit(2.0**32))
+    chosen = rows.withColumn("at", sample_place(F.col("key"))).join(F.broadcast(shares), "lang").filter(
+        F.col("at") < F.col("take"))
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +168,7 @@ def learn(rows: DataFrame, *, sample: int = SAMPLE) -> Filters:
         F.col("n") >= LEAST_SEEN).select("gram", "lang").toPandas()
     members = [np.sort(kept.loc[kept["lang"] == i, "gram"].to_numpy(np.int64)).view(np.uint64)
                for i in range(len(languages))]
-    return Filters.build(languages, members)
+    return Filters.build(languages, members, min(languages, key=lambda lang: (-per[lang], lang)))
 
 
 def predicted(text: Column, filters: Filters) -> Column:

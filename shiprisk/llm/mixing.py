@@ -8,8 +8,9 @@ used up.  Every queue reaches time 1 with its target, so the cut falls where
 all sources have about their targets.
 
 Prefix sums are exact integers and never need one task: within a source they
-run over 4,096 buckets of the shuffle key (the key's first three hex digits),
-globally over the partitions of the range sort.
+run over the partitions of a range sort by source, shuffle key and row number (so
+rows of one key needn't share a task either), globally over those of the range
+sort by finish time.
 
 Defined results: a null text has size 0; a null source is a source of its own
 and comes last; a null doc_id is shuffled as the empty text; repeated rows are
@@ -27,7 +28,6 @@ from shiprisk.llm.common import WORD, materialise, table, text_or_empty
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-BUCKET_DIGITS = 3
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
@@ -59,7 +59,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def _finish(sized: DataFrame, goals: DataFrame, repeats: int) -> DataFrame:
     """One row per queued item with its virtual finish time."""
-    place = Window.partitionBy("source", "bucket").orderBy("key", "row_no")
+    order = ["source", "key", "row_no"]
+    sized = materialise(sized.repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()), "mix-queues")
+    place = Window.partitionBy("bucket", "source").orderBy("key", "row_no")
     offset = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sums = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(offset), F.lit(0)).alias("offset"))
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: Col
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(source).alias("source"),
         F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"),
         key.alias("key"), F.monotonically_increasing_id().alias("row_no"))
-    sized = materialise(sized.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "mix-sizes")
+    sized = materialise(sized, "mix-sizes")
     narrow = sized.drop("row")
     items = _finish(narrow, targets(sized, weights, share, repeats), repeats)
     order = ["finish", "turn", "key", "row_no"]

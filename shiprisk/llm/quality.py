@@ -14,7 +14,9 @@ of all rows of a group, takes the closest half and estimates anew; the start
 with the smaller determinant wins and a last step reweights.  Order statistics
 come from counts on a fine logarithmic grid and moments from sums, so every
 step is a map-side aggregate: a language or source with a third of all rows is
-never gathered in a task.  Only estimates (a row a group) are joined back.
+never gathered in a task.  Only estimates (a row a group) are joined back: they go
+to the rows as a broadcast while there are at most ``BROADCAST_GROUPS`` of them,
+which is checked; beyond that rows and estimates meet over a salted key.
 
 Scatter has a floor (``FLOOR``, the least spread of each statistic), so that
 groups of near-constant rows neither become singular nor reject rows for tiny
@@ -52,6 +54,9 @@ KEEP = 1 - 1e-9
 STEPS = 4
 LEAST_GROUP = 40
 GRID = 16
+#: Groups whose estimates (some 250 bytes a group and start) are sent to all tasks; salts of a group beyond that.
+BROADCAST_GROUPS = 20_000
+SALTS = 32
 X = [f"x{i}" for i in range(P)]
 M = [f"m{i}" for i in range(P)]
 PAIRS = list(combinations_with_replacement(range(P), 2))
@@ -202,24 +207,34 @@ def _grid_start(rows: DataFrame) -> DataFrame:
         F.lit(0.0).alias("logdet"))
 
 
+def meet(rows: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined with a written table of a row a key; the rows of a key stay in many tasks."""
+    if per_group.count() <= 2 * BROADCAST_GROUPS:
+        return rows.join(F.broadcast(per_group), keys, how)
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    every = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every.hint("merge"), [*keys, "salt"], how).drop("salt")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """(group, x*) rows -> the reweighted MCD estimate of each group, with n rows behind it."""
     keys = ["group", "start"]
     first = _estimates(_moments(rows.withColumn("start", F.lit(0))), 1.0)
     now = materialise(first.unionByName(_grid_start(rows).select(first.columns)), "mcd-starts")
     for _ in range(STEPS):
-        far = rows.join(now.drop("n"), "group").withColumn(
+        far = meet(rows, now.drop("n"), ["group"]).withColumn(
             "cell", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * GRID))
         counts = far.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
         by = Window.partitionBy(*keys)
         counts = counts.withColumn("upto", F.sum("n").over(by.orderBy("cell"))).withColumn(
             "all", F.sum("n").over(by))
         half = counts.filter(F.col("upto") >= F.col("all") * HALF).groupBy(*keys).agg(F.min("cell").alias("limit"))
-        half = materialise(half, "mcd-halves")  # its size is then known, so rows needn't move to meet it
-        now = _estimates(_moments(far.join(half, keys).filter("cell <= limit")), consistency(HALF))
-    best = now.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    best = now.join(best, ["group", "start"])
-    near = rows.join(best.drop("n"), "group").filter(_distance() <= chi2_quantile(REWEIGHT, P))
+        half = materialise(half, "mcd-halves")
+        now = _estimates(_moments(meet(far, half, keys).filter("cell <= limit")), consistency(HALF))
+    best = now.groupBy("group").agg(F.min_by(F.struct(*[c for c in now.columns if c not in ("group", "n")]), F.struct(
+        "logdet", "start")).alias("e"))
+    best = materialise(best.select("group", "e.*"), "mcd-best")
+    near = meet(rows, best, ["group"]).filter(_distance() <= chi2_quantile(REWEIGHT, P))
     last = _estimates(_moments(near), consistency(REWEIGHT)).drop("start", "logdet", "n")
     return last.join(rows.groupBy("group").agg(F.count("*").alias("rows")), "group")
 
@@ -244,7 +259,7 @@ def chosen_estimates(stats: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds distance and kept to measured() rows."""
-    out = stats.join(chosen, ["by_lang", "by_source"], "left").withColumn("distance", _distance())
+    out = meet(stats, chosen, ["by_lang", "by_source"], "left").withColumn("distance", _distance())
     fits = F.coalesce(F.col("distance") <= chi2_quantile(KEEP, P), F.lit(True))
     return out.withColumn("kept", ~F.col("failed") & fits)
 

@@ -11,13 +11,14 @@ File format: Parquet in the shared folder, a row a segment of about
 part (their order is the global order), n_tokens, doc_ids, ends (each document's end within the
 segment) and the levels as binary columns.  Spark's committer writes them, so a
 lost executor leaves no half file.  Documents are range-sorted by doc_id (null
-first; repeated doc_ids by text), and a document's global start is its segment's
+first; repeated doc_ids by text, then by row, so that they needn't share a task), and a document's global start is its segment's
 base plus its place; the bases of parts are running sums over their sizes, one
 row a write task.
 
 Defined results: a null or empty text has only the end id; repeated rows are
 written one by one; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+ignored, whatever their names.  doc_ids cross the Arrow steps as text, as pandas
+would round large ones beside a null.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = EN
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
             for doc_id, a in zip(batch["doc_id"], encode.encode(batch["text"].tolist())):
-                held.append(None if pd.isna(doc_id) else int(doc_id))
+                held.append(None if doc_id is None else int(doc_id))
                 ids.append(np.concatenate([a, end]))
                 size += len(ids[-1])
                 if size >= segment_tokens:
@@ -163,10 +164,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = EN
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    tie = F.xxhash64("text").alias("tie")
-    rows = rows.select("doc_id", tie, "text").repartitionByRange("doc_id", "tie").sortWithinPartitions(
-        "doc_id", "tie", "text")
-    rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    order = ["doc_id", "tie", "row_no"]
+    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row_no"),
+                       "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows.mapInPandas(segments, SCHEMA).write.parquet(folder)
 
 
@@ -190,10 +191,11 @@ def documents(segments: DataFrame) -> DataFrame:
                 ends = np.asarray(row["ends"], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 sums = [zlib.crc32(codes.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(starts, ends)]
-                ids = pd.array([None if pd.isna(i) else int(i) for i in row["doc_ids"]], dtype="Int64")
+                ids = pd.array([None if i is None else int(i) for i in row["doc_ids"]], dtype="Int64")
                 yield pd.DataFrame({"doc_id": ids, "start": row["base"] + starts, "n_tokens": ends - starts,
                                     "ids_crc32": np.array(sums, np.int64)})
 
+    segments = segments.withColumn("doc_ids", F.transform("doc_ids", lambda x: x.cast("string")))
     return segments.mapInPandas(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -4,11 +4,19 @@ Listed rules decide the urls they fit (the longest fitting rule wins).  Their
 verdicts are the labels from which Spark's FP-growth mines the token
 combinations of urls: host labels, path segments by place, file extension,
 query keys, fragment.  Rules ``tokens -> verdict`` below the least support or
-confidence are pruned; rules have no greatest length.  The rest matches by an inverted index: every mined rule
-is filed under its rarest token, a token set meets only the rules filed under
-its tokens, and the other tokens of the rule are then looked up.  The rule with
-the highest confidence, then support, then length decides; without any the
-verdict is ``allow``.
+confidence are pruned; rules have no greatest length.
+
+Tokens that occur in the same labelled rows (the keys of a query template, say)
+are one class, and FP-growth mines classes: k such tokens are one item, not 2**k
+itemsets, and no rule is lost, as every choice of a class' tokens has the same
+support and confidence.  The classes come from a row-set digest per token, an
+aggregate; tokens below the least support are in no rule and in no class.
+
+Rules match by an inverted index: every rule is filed under its rarest class, a
+token set meets only the rules filed under its classes, and the rule's other
+classes are then looked up.  A rule stands for all its tokens that the url
+has.  The rule with the highest confidence, then support, then number of tokens
+decides; without any the verdict is ``allow``.
 
 Verdicts depend on the token set alone, so rows are reduced to distinct token
 sets (numbers count as one token) before the index join.
@@ -77,11 +85,47 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.when(host != "", every).otherwise(F.array().cast("array<string>"))))
 
 
+def token_classes(labelled: DataFrame, support: float = LEAST_SUPPORT) -> DataFrame:
+    """(tokens, verdict) rows -> (token, class): frequent tokens, named after the least of those with their rows.
+
+    A token's rows are told by their number and the sums of two hashes of their
+    row numbers.  Rows hold few tokens, so at most (tokens a row) / support are
+    frequent, however many rows there are.
+    """
+    n = labelled.count()
+    rows = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "row_no")
+    digest = [F.sum(F.xxhash64("row_no", F.lit(seed)).cast("decimal(38,0)")).alias(f"d{seed}") for seed in (1, 2)]
+    seen = rows.groupBy("token").agg(F.count("*").alias("seen"), *digest).filter(F.col("seen") >= F.lit(n * support))
+    same = seen.groupBy("seen", "d1", "d2").agg(F.min("token").alias("class"), F.collect_list("token").alias("tokens"))
+    return same.select(F.explode("tokens").alias("token"), "class")
+
+
+def classed(token_sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds ``items`` to rows with ``tokens``: each frequent class in them, with its tokens there, sorted.
+
+    The table of classes has a bounded number of rows (see token_classes), so it goes to all tasks as one map.
+    """
+    held = classes.agg(F.map_from_entries(F.collect_list(F.struct("token", "class"))).alias("class_of"),
+                       F.lit(1).alias("one"))
+    with_map = token_sets.withColumn("one", F.lit(1)).join(F.broadcast(held), "one")  # one row
+    known = F.filter("tokens", lambda t: F.map_contains_key("class_of", t))
+    pairs = F.transform(known, lambda t: F.struct(F.element_at("class_of", t).alias("class"), t.alias("token")))
+    return with_map.withColumn("items", F.array_sort(pairs)).drop("class_of", "one")
+
+
 def mine(labelled: DataFrame, *, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE,
-         longest: int | None = None) -> DataFrame:
-    """(tokens, verdict) rows -> pruned rules (antecedent, verdict, confidence, hits, anchor)."""
+         longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tokens, verdict) rows -> token classes, and pruned rules (antecedent, verdict, confidence, hits, anchor).
+
+    Antecedents are arrays of classes; ``longest`` bounds them (for tests).
+    """
     mark = "verdict="
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(mark), "verdict"))).alias("items"))
+    labelled = materialise(labelled.select("tokens", "verdict", F.monotonically_increasing_id().alias("row_no")),
+                           "url-labelled")
+    classes = materialise(token_classes(labelled, support), "url-classes")
+    baskets = classed(labelled, classes).select(F.concat(
+        F.array_distinct(F.transform("items", lambda x: x["class"])),
+        F.array(F.concat(F.lit(mark), "verdict"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
     sets = materialise(sets, "url-itemsets")
     is_mark = lambda x: x.startswith(mark)
@@ -94,18 +138,22 @@ def mine(labelled: DataFrame, *, support: float = LEAST_SUPPORT, confidence: flo
         F.col("freq").alias("hits"))
     rules = ruled.join(plain, "antecedent").withColumn("confidence", F.col("hits") / F.col("seen")).filter(
         F.col("confidence") >= confidence)
-    single = plain.filter(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("token"), "seen")
-    each = rules.select("antecedent", "verdict", "confidence", "hits", F.explode("antecedent").alias("token"))
-    filed = each.join(single, "token").groupBy("antecedent", "verdict", "confidence", "hits").agg(
-        F.min_by("token", F.struct("seen", "token")).alias("anchor"))
-    return materialise(filed, "url-rules")
+    single = plain.filter(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("class"), "seen")
+    each = rules.select("antecedent", "verdict", "confidence", "hits", F.explode("antecedent").alias("class"))
+    filed = each.join(single, "class").groupBy("antecedent", "verdict", "confidence", "hits").agg(
+        F.min_by("class", F.struct("seen", "class")).alias("anchor"))
+    return classes, materialise(filed, "url-rules")
 
 
-def decide(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+def decide(token_sets: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct token sets (column tokens) -> (tokens, mined) for those that a rule matches."""
-    asked = token_sets.select("tokens", F.explode("tokens").alias("anchor"))
-    met = asked.join(rules, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-    order = F.struct("confidence", "hits", F.size("antecedent").alias("length"), "antecedent", "verdict")
+    asked = classed(token_sets, classes).withColumn("held", F.array_distinct(
+        F.transform("items", lambda x: x["class"])))
+    met = asked.withColumn("anchor", F.explode("held")).join(rules, "anchor").filter(
+        F.size(F.array_except("antecedent", "held")) == 0)
+    inside = F.array_sort(F.transform(
+        F.filter("items", lambda x: F.array_contains("antecedent", x["class"])), lambda x: x["token"]))
+    order = F.struct("confidence", "hits", F.size(inside).alias("length"), inside.alias("tokens_met"), "verdict")
     return met.groupBy("tokens").agg(F.max_by("verdict", order).alias("mined"))
 
 
@@ -121,7 +169,7 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     out = seen.withColumn("mined", F.lit(None).cast("string"))
     if not labelled.isEmpty():
         sets = seen.filter("fit is null and size(tokens) > 0").select("tokens").distinct()
-        out = seen.join(decide(sets, mine(labelled)), "tokens", "left")
+        out = seen.join(decide(sets, *mine(labelled)), "tokens", "left")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
                       F.coalesce("fit.verdict", "mined", F.lit(DEFAULT)).alias("verdict"))
 

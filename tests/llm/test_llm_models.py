@@ -6,6 +6,7 @@ import random
 import sys
 import unicodedata
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -76,6 +77,20 @@ def test_filters_hold_their_members_and_correct_false_positives(monkeypatch):
     assert np.allclose(whole, filters.shares(langid.codes_of(text * 50)))
 
 
+def test_letters_outside_every_filter_get_a_learned_language(spark, tmp_root):
+    """``und`` is only for null and letterless texts; ties of rows go by code point."""
+    docs = [(i, text, lang, *rest) for i, text, lang, *rest in data.rows(80) if lang in ("en", "de")]
+    strange = ["我们今天去公园散步", "Привет как дела", "x", "Ж", "123 !", None, " "]
+    docs += [(5000 + i, t, None, "s", 0) for i, t in enumerate(strange)]
+    folder = data.save(spark, tmp_root, documents=data.documents(spark, docs))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.query(spark, folder).collect()}
+    learned = Counter(lang for i, _, lang, *_ in docs if lang and fold(i, 4) != 2)
+    usual = min(learned, key=lambda lang: (-learned[lang], lang))
+    assert got[5000] == got[5001] == got[5003] == (usual, 0.0)
+    assert got[5002][0] in ("en", "de")
+    assert [got[5000 + i] for i in (4, 5, 6)] == [("und", 0.0)] * 3
+
+
 def toxic_rows(n=700):
     rng = random.Random(17)
     stems = {"en": ["idiot", "scum", "loser"], "de": ["lowei"], "fr": ["vequ"]}

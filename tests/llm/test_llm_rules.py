@@ -312,8 +312,8 @@ def test_mined_rules_against_counting_all_subsets(spark):
     for _ in range(200):
         t = sorted(rng.sample("abcdef", rng.randint(1, 4)))
         held.append((t, "block" if {"a", "b"} <= set(t) or rng.random() < 0.1 else "allow"))
-    rules = urlfilter.mine(spark.createDataFrame(held, "tokens array<string>, verdict string"), support=0.05,
-                           confidence=0.7, longest=3)
+    classes, rules = urlfilter.mine(spark.createDataFrame(held, "tokens array<string>, verdict string"), support=0.05,
+                                    confidence=0.7, longest=3)
     got = {(tuple(r.antecedent), r.verdict): (r.hits, round(r.confidence, 9)) for r in rules.collect()}
     want = {}
     for n in (1, 2, 3):
@@ -325,7 +325,7 @@ def test_mined_rules_against_counting_all_subsets(spark):
                     want[c, v] = (hits, round(hits / len(seen), 9))
     assert got == want
     sets = spark.createDataFrame([(t,) for t in {tuple(t) for t, _ in held}], "tokens array<string>")
-    for r in urlfilter.decide(sets, rules).collect():
+    for r in urlfilter.decide(sets, classes, rules).collect():
         best = max((conf, hits, len(a), list(a), v) for (a, v), (hits, conf) in want.items() if set(a) <= set(r.tokens))
         assert r.mined == best[-1]
 
@@ -355,6 +355,50 @@ def test_mined_rules_of_five_tokens_decide(spark):
     prepare(spark)
     held = [(list("abcde"), "block")] * 30
     held += [([t for t in "abcde" if t != x], "allow") for x in "abcde" for _ in range(10)]
-    rules = urlfilter.mine(spark.createDataFrame(held, "tokens array<string>, verdict string"))
+    classes, rules = urlfilter.mine(spark.createDataFrame(held, "tokens array<string>, verdict string"))
     sets = spark.createDataFrame([(list("abcdef"),)], "tokens array<string>")
-    assert [r.mined for r in urlfilter.decide(sets, rules).collect()] == ["block"]
+    assert [r.mined for r in urlfilter.decide(sets, classes, rules).collect()] == ["block"]
+
+
+def test_template_tokens_are_one_item_and_verdicts_equal_those_of_all_subsets(spark):
+    """Tokens with the same labelled rows are mined as one; urls that have only some of them still match."""
+    from itertools import combinations
+
+    prepare(spark)
+    rng = random.Random(8)
+    held = []
+    for _ in range(150):
+        t = {x for x in "uvw" if rng.random() < 0.5}
+        t |= set(["q1", "q2", "q3"] if rng.random() < 0.5 else [])
+        t |= set(["z1", "z2"] if rng.random() < 0.3 else [])
+        block = ("q1" in t and "u" in t) or ("z1" in t and rng.random() < 0.9)
+        held.append((sorted(t), "block" if block else "allow"))
+    support, confidence = 0.05, 0.6
+    classes, rules = urlfilter.mine(spark.createDataFrame(held, "tokens array<string>, verdict string"),
+                                    support=support, confidence=confidence)
+    assert {r.token: r["class"] for r in classes.collect()} == {
+        **{x: x for x in "uvw"}, "q1": "q1", "q2": "q1", "q3": "q1", "z1": "z1", "z2": "z1"}
+    names, want = ["q1", "q2", "q3", "u", "v", "w", "z1", "z2"], []
+    for n in range(1, len(names) + 1):
+        for c in combinations(names, n):
+            seen = [v for t, v in held if set(c) <= set(t)]
+            for v in ("allow", "block"):
+                hits = seen.count(v)
+                if hits >= support * len(held) and hits / len(seen) >= confidence:
+                    want.append((hits / len(seen), hits, n, list(c), v))
+    asked = [sorted(rng.sample(names + ["new"], rng.randint(1, 6))) for _ in range(80)]
+    sets = spark.createDataFrame([(list(t),) for t in {tuple(t) for t in asked}], "tokens array<string>")
+    got = {tuple(r.tokens): r.mined for r in urlfilter.decide(sets, classes, rules).collect()}
+    for t in {tuple(t) for t in asked}:
+        fits = [r for r in want if set(r[3]) <= set(t)]
+        assert got.get(t) == (max(fits)[-1] if fits else None)
+
+
+def test_thirty_shared_query_keys(spark):
+    keys = "&".join(f"key{i}={{}}" for i in range(30))
+    rows = [(i, f"https://a{i % 3}.com/{'fr' if i % 2 else 'de'}/x?{keys.format(*range(i, i + 30))}", "")
+            for i in range(300)]
+    rows.append((300, f"https://b.net/fr/?{keys.format(*range(30))}", ""))
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == ("allow" if i % 2 else "block") for i in range(300))
+    assert got[300] == "allow"

@@ -52,6 +52,17 @@ def test_segment_tree_and_library_memo_agree_with_the_library(library):
         assert tree.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_large_ids_beside_a_null_come_back_exact(spark, tmp_root):
+    prepare(spark)
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**60) - 1, 5, 5, 5]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    for parts in (1, 4):
+        folder = f"{tmp_root}/{parts}"
+        tokenfiles.write(df.repartition(parts), folder, PATH, segment_tokens=6)
+        got = [r.doc_id for r in tokenfiles.documents(tokenfiles.read(spark, folder)).orderBy("start").collect()]
+        assert got == sorted(ids, key=lambda i: (i is not None, i))
+
+
 @pytest.mark.parametrize("text", ["a" * 3000, "ab" * 4000, "日" * 900, " " * 500, "!" * 900, "x" * 66, "x" * 67])
 def test_words_of_any_length(library, text):
     tree = bpe.SegmentTreeEncoder(pretokens.vocabulary(PATH))
