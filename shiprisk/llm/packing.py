@@ -26,8 +26,11 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiprisk.llm.common import materialise, prepare, table, text_or_empty
+from shiprisk.llm.pretokens import byte_letters
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -46,12 +50,15 @@ SHARD_DOCS = 1_024
 SHARD_POSTINGS = 4_000_000
 SEED = 1313
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 MEMO_BYTES = 64
 PIECE = 1_000_000
 SPACE = " \t\n\x0b\x0c\r"
+# Cuts of a word where the tokenizer's pattern cuts as well: its contractions, letters and digits, the rest.
+RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W_]+|(?:[^\w\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|_)+")
 
-DOCS = "id string, row_no long, n long, crcs array<long>, tail binary, key1 int, key2 int"
+DOCS = ("id string, row_no long, n long, crcs array<long>, tail binary, key1 int, key2 int, terms binary, tfs binary, "
+        "held binary")
 PIECES = ("id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -65,11 +72,31 @@ def text_pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
+class Memo(dict):
+    """A bounded memo of ``make``; long keys aren't kept, and a full memo starts anew at ``trim``."""
+
+    def __init__(self, make: Callable, bound: int, longest: int):
+        super().__init__()
+        self.make, self.bound, self.longest = make, bound, longest
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) < self.longest:
+            self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.bound:
+            self.clear()
+
+
 class WordEncoder:
-    """Whole texts to ids, through a bounded memo of the words between ASCII white space.
+    """Whole texts to ids, through bounded memos.
 
-    The tokenizer drops white space and never looks across it, so the words'
-    ids, one after the other, are the text's.
+    The tokenizer drops white space and never looks across it, so the ids of the
+    words between ASCII white space, one after the other, are the text's.  A new
+    word is cut into runs of letters and digits, contractions and the rest, where
+    the tokenizer cuts too; a run of letters needs only the tokenizer's merges.
     """
 
     def __init__(self, path: str):
@@ -79,24 +106,51 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[bytes, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = tuple(t.content for t in special)
+        self.words = Memo(self._word, MEMO_WORDS, MEMO_BYTES)
+        self.runs = Memo(self._run, MEMO_WORDS, MEMO_BYTES)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run, as little-endian unsigned 32-bit bytes."""
+        if run.isascii():
+            if not run.isalpha():
+                return self._library(run)
+        else:
+            # Lower-cased letter by letter: a sigma's form doesn't depend on its place.
+            run = "".join(map(str.lower, run)) if "\u03a3" in run else run.lower()
+            if not run.isalpha():
+                return self._library(run)
+            run = run.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.lower().decode()  # ASCII capitals only
+        if text.isascii():
+            if text.isalpha():
+                return self.runs[text]
+            if text[-1] in ".,;:!?" and text[:-1].isalpha():
+                return self.runs[text[:-1]] + self.runs[text[-1]]
+        else:
+            # A dotted capital I becomes two characters, and composition may reach over a cut.
+            if "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+                return self._library(word.decode())
+        if "<|" in text and any(s in word.decode() for s in self.special):
+            return self._library(word.decode())
+        return b"".join(map(self.runs.__getitem__, RUN.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         out = []
         for piece in text_pieces(text):
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            memo = self.memo
-            words = piece.encode("utf-8", "replace").split()
-            new = list(set(words).difference(memo))
-            if new:
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-            out.append(b"".join(map(memo.__getitem__, words)))
-            for w in new:
-                if len(w) >= MEMO_BYTES:
-                    del memo[w]
+            self.words.trim()
+            self.runs.trim()
+            out.append(b"".join(map(self.words.__getitem__, piece.encode("utf-8", "replace").split())))
         return np.frombuffer(b"".join(out), "<u4")
 
 
@@ -121,28 +175,38 @@ def crc(ids: np.ndarray) -> int:
 
 
 def tokenised(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, window: int) -> DataFrame:
-    """DOCS and the terms of documents longer than a window (other documents' terms are in their tail)."""
+    """DOCS: ``terms`` and ``tfs`` of documents longer than a window (those of others are in their tail).
+
+    The last row of a task also has ``held``, how many of the task's documents hold each id.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         kind, race, end = narrow(max(encode.size, end_id + 1)), races(encode.size), np.array([end_id], "<u4")
-        for batch in batches:
+        seen, out = np.zeros(encode.size, np.int64), None
+        for batch in filter(len, batches):
+            if out is not None:
+                yield out
             rows = []
             for text in batch["text"]:
                 ids = encode.encode(text)
                 terms, tfs = np.unique(ids, return_counts=True)
+                seen[terms] += 1
                 keys = terms[race[:, terms].argmin(axis=1)].tolist() if len(terms) else [0, 0]
                 ids = np.concatenate([ids, end])
                 whole = len(ids) // window * window
                 crcs = [crc(ids[a:a + window]) for a in range(0, whole, window)]
-                held = (terms.astype(kind).tobytes(), tfs.astype("<u4").tobytes()) if whole else (b"", b"")
-                rows.append((len(ids), crcs, ids[whole:].astype(kind).tobytes(), *keys, *held))
-            out = pd.DataFrame(rows, columns=["n", "crcs", "tail", "key1", "key2", "terms", "tfs"])
-            yield pd.concat([batch[["id", "row_no"]], out], axis=1)
+                long = (terms.astype(kind).tobytes(), tfs.astype("<u4").tobytes()) if whole else (b"", b"")
+                rows.append((len(ids), crcs, ids[whole:].astype(kind).tobytes(), *keys, *long, None))
+            out = pd.DataFrame(rows, columns=["n", "crcs", "tail", "key1", "key2", "terms", "tfs", "held"])
+            out = pd.concat([batch[["id", "row_no"]], out], axis=1)
+        if out is not None:
+            out.at[out.index[-1], "held"] = seen.astype("<i8").tobytes()
+            yield out
 
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.monotonically_increasing_id().alias("row_no"),
                        text_or_empty(text).alias("text"))
-    return rows.mapInPandas(each, f"{DOCS}, terms binary, tfs binary")
+    return rows.mapInPandas(each, DOCS)
 
 
 def terms_of(tail: bytes, terms: bytes, tfs: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -153,19 +217,19 @@ def terms_of(tail: bytes, terms: bytes, tfs: bytes, kind: np.dtype) -> tuple[np.
     return found.astype(np.int64), n
 
 
-def document_frequencies(held: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
+def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """Documents that hold each id: a count a task and id, then one a vocabulary entry."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(size, np.int64)
         for batch in batches:
-            for row in zip(batch["tail"], batch["terms"], batch["tfs"]):
-                seen[terms_of(*row, kind)[0]] += 1
+            for counts in batch["held"]:
+                seen += np.frombuffer(counts, "<i8")
         at = np.nonzero(seen)[0]
         yield pd.DataFrame({"term": at, "df": seen[at]})
 
     out = np.zeros(size, np.int64)
-    per = held.select("tail", "terms", "tfs").mapInPandas(count, "term long, df long").groupBy("term").agg(
+    per = docs.filter("held is not null").select("held").mapInPandas(count, "term long, df long").groupBy("term").agg(
         F.sum("df").alias("df"))
     for r in per.collect():  # at most a row a vocabulary entry
         out[r.term] = r.df
@@ -187,10 +251,11 @@ class Index:
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every document of the shard for a query of distinct terms."""
-        first = self.starts[terms]
-        n = self.starts[terms + 1] - first
-        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.docs)
+        spans = list(map(slice, self.starts[terms].tolist(), self.starts[terms + 1].tolist()))
+        if not spans:
+            return np.zeros(self.docs)
+        return np.bincount(np.concatenate(list(map(self.doc.__getitem__, spans))),
+                           np.concatenate(list(map(self.weight.__getitem__, spans))), minlength=self.docs)
 
 
 def fill(lengths: np.ndarray, index: Index, terms: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
@@ -274,7 +339,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
     kind = narrow(max(size, end_id + 1))
     held = materialise(tokenised(docs, doc_id, text, tokenizer_path, end_id, window), "pack-tokens")
     rows, total = held.agg(F.count("*"), F.sum("n")).first()
-    df = document_frequencies(held, size, kind)
+    df = document_frequencies(held, size)
     idf = np.log1p((rows - df + 0.5) / (df + 0.5))
     mean = (total or 0) / max(rows, 1)
 

@@ -226,7 +226,7 @@ def eigenpairs(rows: DataFrame, n: int, total: list[int], components: int) -> li
         values, vectors = leading_eigenpairs(v, components)
         real = values > len(v) * np.finfo(float).eps * values.max(initial=0.0)
         return pd.DataFrame({"component": np.arange(1, len(values) + 1), "value": values, "trace": np.trace(v),
-                             "vector": list(vectors.T)})[real]
+                             "vector": pd.Series(list(vectors.T), dtype=object)})[real]
 
     entries = rows.select("c").mapInPandas(products, "i int, j int, total decimal(38,0)").groupBy("i", "j").agg(
         F.sum("total").cast("decimal(38,0)").alias("total"))
