@@ -9,12 +9,11 @@ over the blocks, dropped as soon as the best remaining codes can't lift them
 over the height.  The height gives about ``hits`` filters a vector; a vector
 with fewer than ``least_hits`` lowers its own height until it has them.
 
-A label's vectors of one length that number up to ``EXACT`` all meet each other:
-nothing is missed there, and it is cheaper than filters.  Above that the code is
-drawn several times with independent uniform rotations, and a pair meets if any
-of them gives it a filter in common.  Under a uniform rotation the chance to
-share none depends on the pair's cosine alone, whatever the data; ``plan_for``
-measures it on random pairs at the limit for the table's code size and takes the
+The code is drawn several times with independent uniform rotations, and a pair
+meets if any of them gives it a filter in common; this holds for every label,
+whatever its size.  Under a uniform rotation the chance to share none depends on
+the pair's cosine alone, whatever the data; ``plan_for`` measures it on random
+pairs at the limit, for the code size of each vector length, and takes the
 cheapest hits and number of draws with a chance below ``MISS``.
 
 Vectors that meet are compared as 8-bit copies: a pair goes on
@@ -51,9 +50,7 @@ COSINE = 0.93
 BLOCKS = 4
 HITS = 32
 LEAST_HITS = 12
-#: Vectors of a label and length up to which all pairs are compared.
-EXACT = 16_384
-#: Chance to miss a pair at the limit in a larger label, and the random pairs it is measured on.
+#: Chance to miss a pair at the limit, and the random pairs it is measured on.
 MISS = 1e-4
 HIT_STEPS = (16, 24, 32, 48, 64, 96, 128)
 MISS_PAIRS = 4000
@@ -63,9 +60,10 @@ SMALL = 48
 SEED = 20240
 
 
-def codes_for(rows: int, blocks: int = BLOCKS) -> int:
-    """Directions a block, so that the filters number about the rows."""
-    return max(8, int(np.ceil(max(rows, 1) ** (1.0 / blocks))))
+def codes_for(rows: int, dim: int = 64, blocks: int = BLOCKS) -> int:
+    """Directions a block, so that the filters number about the rows, but no more than caps lie apart in few dimensions."""
+    filters = min(max(rows, 8**blocks), 4 ** min(dim, 30))
+    return max(2, int(np.ceil(filters ** (1.0 / min(blocks, dim)) - 1e-9)))
 
 
 class ProductCode:
@@ -240,31 +238,36 @@ def _near_small(group: pd.DataFrame, spans: np.ndarray, cosine: float) -> np.nda
     return np.concatenate(found, axis=1)
 
 
-def links(classes: DataFrame, codes: int, *, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, *, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Distinct verified pairs (a, b) of class numbers, a < b."""
     dim = F.size("vec").alias("dim")
-    large = materialise(classes.groupBy("label", dim).agg(F.count("*").alias("n")).filter(F.col("n") > EXACT).select(
-        "label", "dim", F.lit(True).alias("large")), "large-labels")  # at most a row for EXACT classes
-    plans = {r.dim: plan_for(r.dim, codes, cosine) for r in large.select("dim").distinct().collect()}
+
+    def planned(group: pd.DataFrame) -> pd.DataFrame:
+        codes = codes_for(int(group["n"].iat[0]), int(group["dim"].iat[0]))
+        hits, turns = plan_for(int(group["dim"].iat[0]), codes, cosine)
+        return group.assign(codes=codes, hits=hits, turns=turns).drop(columns="n")
+
+    # A row a vector length.
+    plans = materialise(classes.groupBy(dim).agg(F.count("*").alias("n")).groupBy("dim").applyInPandas(
+        planned, "dim int, codes int, hits int, turns int"), "cap-plans")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[int, list[ProductCode]] = {}
+        made: dict[tuple, list[ProductCode]] = {}
 
-        def decoded(dim: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if dim not in made:
-                hits, turns = plans[dim]
-                made[dim] = [ProductCode(dim, codes, hits=hits, turn=t) for t in range(turns)]
-            found = [code.decode(unit) for code in made[dim]]
+        def decoded(plan: tuple[int, int, int, int], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            dim, codes, hits, turns = plan
+            if plan not in made:
+                made[plan] = [ProductCode(dim, codes, hits=hits, turn=t) for t in range(turns)]
+            found = [code.decode(unit) for code in made[plan]]
             return (np.concatenate([rows for rows, _ in found]),
-                    np.concatenate([f + t * codes ** made[dim][t].blocks for t, (_, f) in enumerate(found)]))
+                    np.concatenate([f + t * codes ** made[plan][t].blocks for t, (_, f) in enumerate(found)]))
 
         for batch in batches:
-            for (dim, by_filters), part in batch.groupby([batch["vec"].map(len), "large"]):
+            for plan, part in batch.groupby(["dim", "codes", "hits", "turns"]):
+                dim = int(plan[0])
                 scaled = _scaled(part["vec"])
                 unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                # In a label that is not large all share one filter.
-                rows, filters = decoded(int(dim), unit) if by_filters else (
-                    np.arange(len(part)), np.full(len(part), -1, np.int64))
+                rows, filters = decoded(tuple(map(int, plan)), unit)
                 small = np.rint(scaled * 127).astype(np.int8)
                 error = np.linalg.norm(scaled - small / 127.0, axis=1) / np.linalg.norm(scaled, axis=1)
                 packed = np.array([v.tobytes() for v in small], object)
@@ -273,8 +276,7 @@ def links(classes: DataFrame, codes: int, *, cosine: float = COSINE, block: int
                                     "error": error[rows]})
 
     label = classes.schema["label"].dataType.simpleString()
-    marked = classes.withColumn("dim", dim).join(F.broadcast(large), ["label", "dim"], "left").select(
-        "class_no", "label", "vec", F.coalesce("large", F.lit(False)).alias("large"))
+    marked = classes.withColumn("dim", dim).join(plans, "dim").select("class_no", "label", "vec", *plans.columns)
     hits = marked.mapInPandas(
         send, f"label {label}, dim int, filter long, class_no long, small binary, error double")
     hits = materialise(hits, "cap-hits")
@@ -326,7 +328,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id, kept, one row per vector."""
     narrow = vectors.select("vec_id", "embedding", "label")
     classes = materialise(_classes(narrow), "vector-classes")
-    pairs = materialise(links(classes, codes_for(classes.count()), cosine=cosine), "vector-links")
+    pairs = materialise(links(classes, cosine=cosine), "vector-links")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.join(classes.select(F.col("class_no").alias("b"), "copies"), "b").groupBy("a").agg(
         F.sum("copies").alias("others"))

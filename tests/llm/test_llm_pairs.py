@@ -184,11 +184,20 @@ def test_list_decoding_gives_all_exceeding_filters():
             np.nonzero(every[i] >= code.height)[0])
 
 
-@pytest.mark.parametrize("exact", [1 << 14, 0])
-def test_embeddings_miss_no_pair_near_the_limit(spark, monkeypatch, exact):
-    """1,500 pairs just above the limit in one label, by all pairs and by the filters alone."""
+@pytest.mark.parametrize("dim, rows", [(1, 10**7), (2, 10**7), (3, 10**7), (8, 50_000), (64, 500), (64, 50_000)])
+def test_plans_keep_the_miss_chance_in_any_dimension(dim, rows):
+    codes = spherical.codes_for(rows, dim)
+    hits, turns = spherical.plan_for(dim, codes)
+    x, y = spherical.random_pairs(np.random.default_rng(9), 1000, dim, 0.93)
+    none = np.ones(len(x), bool)
+    for turn in range(turns):
+        none &= spherical.apart(spherical.ProductCode(dim, codes, hits=hits, seed=5, turn=turn), x, y)[0]
+    assert none.sum() <= 1
+
+
+def test_embeddings_miss_no_pair_near_the_limit(spark):
+    """1,500 pairs just above the limit in one label."""
     prepare(spark)
-    monkeypatch.setattr(spherical, "EXACT", exact, raising=False)
     rng = np.random.default_rng(8)
     x, z = rng.standard_normal((2, 1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
