@@ -48,6 +48,7 @@ WINDOW = 2048
 K1, B = 1.2, 0.75
 SHARD_DOCS = 1_024
 SHARD_POSTINGS = 4_000_000
+DENSE = 8
 SEED = 1313
 
 MEMO_WORDS = 1_000_000
@@ -170,6 +171,13 @@ def narrow(size: int) -> np.dtype:
     return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, rising, and how often each occurs (16-bit ids are radix-sorted)."""
+    ids = np.sort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[starts].astype(np.int64), np.diff(starts, append=len(ids))
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -190,7 +198,7 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, w
             rows = []
             for text in batch["text"]:
                 ids = encode.encode(text)
-                terms, tfs = np.unique(ids, return_counts=True)
+                terms, tfs = distinct(ids.astype(kind))
                 seen[terms] += 1
                 keys = terms[race[:, terms].argmin(axis=1)].tolist() if len(terms) else [0, 0]
                 ids = np.concatenate([ids, end])
@@ -213,8 +221,7 @@ def terms_of(tail: bytes, terms: bytes, tfs: bytes, kind: np.dtype) -> tuple[np.
     """Distinct ids of a document, without its end id, and how often each occurs."""
     if terms:
         return np.frombuffer(terms, kind).astype(np.int64), np.frombuffer(tfs, "<u4").astype(np.int64)
-    found, n = np.unique(np.frombuffer(tail, kind)[:-1], return_counts=True)
-    return found.astype(np.int64), n
+    return distinct(np.frombuffer(tail, kind)[:-1])
 
 
 def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
@@ -237,7 +244,11 @@ def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
 
 
 class Index:
-    """BM25 inverted index of a shard: postings by term, with their weights."""
+    """BM25 inverted index of a shard: postings by term, with their weights.
+
+    Terms in over a ``DENSE``-th of the documents have a weight for every document
+    instead, which adds up faster.
+    """
 
     def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray,
                  mean: float):
@@ -248,9 +259,20 @@ class Index:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9)))
         self.doc, self.weight = doc[order], weight[order]
+        frequent = np.nonzero(np.diff(self.starts) * DENSE > self.docs)[0]
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.docs), np.float32)
+        inside = self.row[term] >= 0
+        self.dense[self.row[term[inside]], doc[inside]] = weight[inside]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every document of the shard for a query of distinct terms."""
+        row = self.row[terms]
+        common, rare = row >= 0, terms[row < 0]
+        return np.add.reduce(self.dense[row[common]], axis=0) + self._postings(rare)
+
+    def _postings(self, terms: np.ndarray) -> np.ndarray:
         spans = list(map(slice, self.starts[terms].tolist(), self.starts[terms + 1].tolist()))
         if not spans:
             return np.zeros(self.docs)
