@@ -10,19 +10,36 @@ from shiprisk.functions.calendar import before, month_label
 from shiprisk.functions.rounding import cents, money, ratio_round, rate_pct
 
 
+RISK_KEY = ["shipping_mode", "market", "order_region"]
+
+
+def risk_partials(rows: DataFrame) -> DataFrame:
+    """Shipments, late ones and days of delay per key: these add up over any split of the rows."""
+    return rows.groupBy(*RISK_KEY).agg(
+        F.count(F.lit(1)).alias("total_shipments"),
+        F.sum("late_delivery_risk").cast("bigint").alias("late_shipments"),
+        F.sum("delay_days").cast("bigint").alias("delay_sum"))
+
+
+def risk_rates(partials: DataFrame) -> DataFrame:
+    """GT1 from any number of partial rows per key."""
+    added = partials.groupBy(*RISK_KEY).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("total_shipments", "late_shipments", "delay_sum")])
+    return added.select(*RISK_KEY, "total_shipments", "late_shipments",
+                        rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"),
+                        ratio_round("delay_sum", "total_shipments").alias("avg_delay_days"))
+
+
 def gold_shipping_risk(flat: DataFrame) -> DataFrame:
     """GT1: mode x market x region -> shipments, late, rate, average delay.
 
     Uses every row: lateness is not affected by the price anomaly.
     """
     return (
-        flat.groupBy("shipping_mode", "market", "order_region")
-        .agg(F.count(F.lit(1)).alias("total_shipments"),
-             F.sum("late_delivery_risk").cast("bigint").alias("late_shipments"),
-             F.sum("delay_days").cast("bigint").alias("_delay"))
-        .select("shipping_mode", "market", "order_region", "total_shipments", "late_shipments",
+        risk_partials(flat)
+        .select(*RISK_KEY, "total_shipments", "late_shipments",
                 rate_pct("late_shipments", "total_shipments").alias("late_rate_pct"),
-                ratio_round("_delay", "total_shipments").alias("avg_delay_days"))
+                ratio_round("delay_sum", "total_shipments").alias("avg_delay_days"))
     )
 
 

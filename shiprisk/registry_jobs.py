@@ -14,8 +14,7 @@ from shiprisk.schemas import (
     DEDUPED_TABLES, INT_COLUMNS, NUMERIC_COLUMNS, PRIMARY_KEYS, RAW_HEADERS, TABLE_COLUMNS, contract,
 )
 from shiprisk.session import apply_defaults, work_dir
-from shiprisk.sources import csv_io, silver, testbed
-from shiprisk.sources.snapshots import SnapshotStore
+from shiprisk.sources import csv_io, silver, tables, testbed
 from shiprisk import config
 
 CUTOFF = config.TESTBED_CUTOFF
@@ -213,29 +212,31 @@ def _join(name: str):
 
 
 def save_table_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Replaced by a table of another schema, then by the gold table again."""
     apply_defaults(s)
-    store = SnapshotStore(s, work_dir(s, "tables"))
-    store.save(gold.gold_shipping_risk(silver.testbed_silver(s, d).flat), "gold_shipping_risk")
-    return store.read("gold_shipping_risk")
+    root, flat = work_dir(s, "tables"), silver.testbed_silver(s, d).flat
+    name = "gold_shipping_risk_saved"
+    tables.save_table(gold.gold_category_profitability(flat, CUTOFF), name, f"{root}/first")
+    tables.save_table(gold.gold_shipping_risk(flat), name, f"{root}/second")
+    return tables.read_table(s, name)
 
 
 def table_history(s: SparkSession, d: str) -> DataFrame:
     """Two runs of the same job: two versions with the same row count."""
     apply_defaults(s)
-    store = SnapshotStore(s, work_dir(s, "tables"))
+    root = work_dir(s, "gold-runs")
     for _ in range(2):
-        store.save(gold.gold_shipping_risk(silver.testbed_silver(s, d).flat), "gold_shipping_risk")
-    return store.history("gold_shipping_risk").select("version", "operation", "n_rows")
+        tables.save_run(gold.gold_shipping_risk(silver.testbed_silver(s, d).flat), root)
+    return tables.history(s, root).select("version", "operation", "n_rows")
 
 
 def read_version(s: SparkSession, d: str) -> DataFrame:
-    """Version 0 (before-cutoff revenue) stays readable after an overwrite."""
+    """Version 0 (before-cutoff revenue) stays readable after a second run."""
     apply_defaults(s)
-    store = SnapshotStore(s, work_dir(s, "tables"))
-    flat = silver.testbed_silver(s, d).flat
-    store.save(gold.gold_monthly_revenue_by_market(flat, CUTOFF), "gold_monthly_revenue")
-    store.save(gold.gold_monthly_revenue_by_market(flat, "9999-01-01"), "gold_monthly_revenue")
-    return store.read("gold_monthly_revenue", version=0)
+    root, flat = work_dir(s, "gold-runs"), silver.testbed_silver(s, d).flat
+    tables.save_run(gold.gold_monthly_revenue_by_market(flat, CUTOFF), root)
+    tables.save_run(gold.gold_monthly_revenue_by_market(flat, "9999-01-01"), root)
+    return tables.read_run(s, root, 0)
 
 
 def _export(s: SparkSession, d: str) -> tuple[str, SupplyTables]:
@@ -336,9 +337,9 @@ def incremental_gold_shipping_risk(s: SparkSession, d: str) -> DataFrame:
     csv_io.write_raw_csv(raw, f"{root}/incoming")
     types = {f.name: f.dataType for f in raw.schema.fields
              if not isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
-    store = SnapshotStore(s, f"{root}/tables")
-    incremental.run_gold_refresh(s, f"{root}/incoming", store, f"{root}/checkpoint", types, BRONZE_TS)
-    return store.read("gold_shipping_risk")
+    incremental.run_gold_refresh(s, f"{root}/incoming", f"{root}/tables", f"{root}/checkpoint", types, BRONZE_TS,
+                                 files_per_trigger=4)
+    return tables.read_run(s, f"{root}/tables/gold_shipping_risk")
 
 
 def streaming_queries() -> dict:

@@ -1,7 +1,10 @@
+import pytest
+from pyspark.sql import functions as F
+
 from shiprisk.model import SupplyTables
 from shiprisk.operators import audit
 from shiprisk.schemas import contract
-from shiprisk.sources.snapshots import SnapshotStore
+from shiprisk.sources import tables as stored
 
 from fixtures import tables
 
@@ -47,17 +50,39 @@ def test_reconcile(spark):
     assert got == {"x": True, "y": False, "z": False}
 
 
-def test_snapshot_versions(spark, tmp_root):
-    store = SnapshotStore(spark, tmp_root)
-    assert store.save(spark.range(5), "t") == 5
-    assert store.save(spark.range(7).selectExpr("id", "id * 2 as twice"), "t") == 7
-    hist = store.history("t").orderBy("version").collect()
-    assert [(h.version, h.n_rows) for h in hist] == [(0, 5), (1, 7)]
-    assert store.read("t").columns == ["id", "twice"]
-    assert store.read("t", version=0).count() == 5
-    import pytest
-    with pytest.raises(ValueError):
-        store.read("t", version=9)
+def test_save_table_replaces_data_and_schema_and_counts_rows(spark, tmp_root):
+    assert stored.save_table(spark.range(5), "saved_t", f"{tmp_root}/a") == 5
+    assert stored.save_table(spark.range(7).selectExpr("id", "id * 2 as twice"), "saved_t", f"{tmp_root}/b") == 7
+    assert stored.read_table(spark, "saved_t").columns == ["id", "twice"]
+    assert stored.read_table(spark, "saved_t").count() == 7
+    assert stored.save_table(spark.range(0), "saved_t", f"{tmp_root}/c") == 0
+    assert stored.read_table(spark, "saved_t").count() == 0
+    joined = spark.range(50).join(spark.range(20).withColumnRenamed("id", "k"), F.expr("id % 20 = k")).groupBy("k").count()
+    assert stored.save_table(joined, "saved_t", f"{tmp_root}/d") == 20
+
+
+def test_runs_are_write_once_partitions(spark, tmp_root):
+    assert stored.history(spark, tmp_root).count() == 0 and stored.latest_run(spark, tmp_root) is None
+    assert stored.save_run(spark.range(5), tmp_root) == 0
+    assert stored.save_run(spark.range(9), tmp_root, operation="MERGE") == 1
+    hist = stored.history(spark, tmp_root).orderBy("version").collect()
+    assert [(h.version, h.operation, h.n_rows) for h in hist] == [(0, "WRITE", 5), (1, "MERGE", 9)]
+    assert hist[0].committed_at < hist[1].committed_at
+    assert stored.read_run(spark, tmp_root).count() == 9 and stored.read_run(spark, tmp_root, 0).columns == ["id"]
+    plan = stored.read_run(spark, tmp_root, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan and "(run_id" in plan
+    for wrong in (lambda: stored.save_run(spark.range(3), tmp_root, 1),
+                  lambda: stored.save_run(spark.range(3).selectExpr("id", "1 AS more"), tmp_root),
+                  lambda: stored.save_run(spark.range(3).selectExpr("id AS run_id"), tmp_root),
+                  lambda: stored.read_run(spark, tmp_root, 9)):
+        with pytest.raises(ValueError):
+            wrong()
+    # a replay replaces its own run only, and a job that dies leaves no half run
+    assert stored.save_run(spark.range(3), tmp_root, 1, replace=True) == 1
+    broken = spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("died"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="died"):
+        stored.save_run(broken, tmp_root, 2)
+    assert [(h.version, h.n_rows) for h in stored.history(spark, tmp_root).orderBy("version").collect()] == [(0, 5), (1, 3)]
 
 
 def test_pk_report_projected_equals_per_table(spark):
@@ -78,25 +103,6 @@ def test_pk_report_projected_equals_per_table(spark):
     assert a["orders"][2:] == (4, 2, 1, 1, 1)
 
 
-def test_snapshot_save_retries_over_uncommitted_leftovers(spark, tmp_root):
-    store = SnapshotStore(spark, tmp_root)
-    # a save that died after writing data but before its commit record
-    spark.range(3).write.parquet(f"{tmp_root}/t/data/v=0")
-    assert store.latest_version("t") is None
-    assert store.save(spark.range(4), "t") == 4
-    assert store.read("t").count() == 4 and store.latest_version("t") == 0
-
-
-def test_snapshot_save_with_version_is_idempotent(spark, tmp_root):
-    store = SnapshotStore(spark, tmp_root)
-    assert store.save(spark.range(5), "s", version=0) == 5
-    assert store.save(spark.range(9), "s", version=0) == 5   # replay: kept as committed
-    assert store.save(spark.range(2), "s", version=1) == 2
-    fresh = SnapshotStore(spark, tmp_root)                     # another process sees the log
-    assert fresh.save(spark.range(7), "s", version=1) == 2
-    assert [h.version for h in fresh.history("s").orderBy("version").collect()] == [0, 1]
-
-
 def test_key_conflicts_finds_non_functional_keys(spark):
     rows = spark.createDataFrame(
         [(1, "Phone", 10), (1, "Phone", 11), (2, "Lamp", 12), (2, "Lamp v2", 13)],
