@@ -13,7 +13,9 @@ select order_item_id, shipping_mode, order_region, market, category_name,
 from flat"""
 
 SPLIT = """
-select *, case when cast(('0x' || substr(md5('42' || order_item_id), 1, 8)) as bigint) % 100 < 20
+select *, case when row_number() over (partition by label order by
+                        cast(('0x' || substr(md5('42' || order_item_id), 1, 12)) as bigint), order_item_id)
+                    <= (count(*) over (partition by label) * 20 + 50) // 100
                then 'test' else 'train' end as split
 from features"""
 
@@ -74,8 +76,16 @@ from (select s, pos, neg, coalesce(sum(neg) over (order by s rows between unboun
       from (select score as s, count(case when label = 1 then 1 end) as pos,
                    count(case when label = 0 then 1 end) as neg from rule group by 1))""")
     out["scored_rows"] = W("select order_item_id, label, true as consistent from split where split = 'test'")
+    out["forest_rescored"] = W("select order_item_id, label, true as agrees from split where split = 'test'")
     levels = " + ".join(f"(select count(distinct {c}) - 1 from features)" for c in cats)
     out["importance_total"] = W(f"select 4 + {levels} as n_features, cast(1.0 as double) as total")
+    out["logreg_gradient"] = W(f"""select (select count(*) from split where split = 'train') as n_rows,
+        cast(4 + {levels} as int) as n_features, true as gradient_vanishes, true as step_vanishes""")
+    numeric = ["discount_rate", "quantity", "order_month", "order_weekday"]
+    out["importance_from_gains"] = W(" union all ".join(
+        [f"select '{c}' as feature, true as agrees" for c in numeric]
+        + [f"select distinct '{c}_' || {c}, true from features where {c} <> (select min({c}) from features)"
+           for c in cats]))
     return out
 
 

@@ -58,10 +58,10 @@ def stored(model):
     return type(model).load(path)
 
 
-def train_logreg(prep: Prepared, max_iter: int = 1000) -> PipelineModel:
+def train_logreg(prep: Prepared, max_iter: int = 1000, tol: float = 1e-9) -> PipelineModel:
     """M4: L2 logistic regression with sklearn's C=1 scaling (reg = 1/n)."""
     n_train = prep.train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, tol=tol,
                             regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                             standardization=False)
     return PipelineModel(stages=[*prep.encoder.stages, stored(lr.fit(prep.train))])

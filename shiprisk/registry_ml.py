@@ -6,12 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiprisk.ml import evaluate, features, split, train
+from shiprisk.ml import certify, evaluate, features, split, train
 from shiprisk.session import app_id, apply_defaults, work_dir
 from shiprisk.sources import silver
 
 # (application, source folder, balanced) -> fitted model, its encoder and the encoded test rows.
 _FITTED: dict[tuple, tuple] = {}
+# (application, source folder) -> the split rows (lazy; only the classes' limits are known).
+_SPLIT: dict[tuple, DataFrame] = {}
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
@@ -20,7 +22,10 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 
 
 def _split(s: SparkSession, d: str) -> DataFrame:
-    return split.stratified_split(_features(s, d))
+    key = (app_id(s), d)
+    if key not in _SPLIT:
+        _SPLIT[key] = split.stratified_split(_features(s, d))
+    return _SPLIT[key]
 
 
 def delivery_features(s, d):
@@ -64,10 +69,46 @@ def _forest(s: SparkSession, d: str, balanced: bool = False) -> tuple:
 
 
 def _logreg(s: SparkSession, d: str) -> tuple:
-    prep = train.prepare(_split(s, d))
-    model = train.train_logreg(prep)
-    prep.release()
-    return model, prep.encoder, prep.test
+    """The logistic regression, fitted once an application."""
+    key = (app_id(s), d, "logreg")
+    if key not in _FITTED:
+        prep = train.prepare(_split(s, d))
+        model = train.train_logreg(prep)
+        prep.release()
+        _FITTED[key] = (model, prep.encoder, prep.test)
+    return _FITTED[key]
+
+
+def logreg_gradient(s, d):
+    """Whether the fit is the optimum: its mean penalised gradient and Newton step vanish."""
+    model, encoder, _ = _logreg(s, d)
+    encoded = encoder.transform(_split(s, d)).where(F.col("split") == "train")
+    final = model.stages[-1]
+    n, gradient, step = certify.logreg_certificate(
+        encoded, final.coefficients.toArray(), final.intercept, final.getRegParam())
+    return s.createDataFrame([(n, len(final.coefficients), gradient < 1e-6, step < 1e-3)],
+                             "n_rows bigint, n_features int, gradient_vanishes boolean, step_vanishes boolean")
+
+
+def forest_rescored(s, d):
+    """Every test row's score through the forest's node table, against the model's own."""
+    model, encoder, test = _forest(s, d)
+    nodes = certify.node_table(model, encoder, s)
+    own = train.score_encoded(model, test).select(features.ID, "label", F.col("score").alias("own"))
+    routed = certify.rescored(model, nodes, _split(s, d).where(F.col("split") == "test"))
+    return own.join(routed, features.ID, "left").select(
+        features.ID, "label", F.coalesce(F.abs(F.col("own") - F.col("score")) < 1e-9, F.lit(False)).alias("agrees"))
+
+
+def importance_from_gains(s, d):
+    """Every feature's importance from the nodes' impurity gains, against the model's own."""
+    model, encoder, _ = _forest(s, d)
+    gained = certify.importance_from_nodes(certify.node_table(model, encoder, s))
+    values = model.stages[-1].featureImportances.toArray().tolist()
+    own = s.createDataFrame([(i, n, v) for i, (n, v) in enumerate(zip(features.feature_names(encoder), values))],
+                            "slot int, feature string, own double")  # a row a feature
+    return own.join(gained, "slot", "left").select(
+        "feature", (F.abs(F.col("own") - F.coalesce("importance", F.lit(0.0))) < 1e-9).alias("agrees"))
 
 
 def _metrics(kind: str):
@@ -140,4 +181,7 @@ def queries() -> dict:
         "importance_total": importance_total,
         "model_comparison": model_comparison,
         "model_roundtrip": model_roundtrip,
+        "logreg_gradient": logreg_gradient,
+        "forest_rescored": forest_rescored,
+        "importance_from_gains": importance_from_gains,
     }
