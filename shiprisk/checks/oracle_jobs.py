@@ -195,6 +195,23 @@ full outer join (select s.shipping_mode, o.market, count(*) as n, cast(sum(s.lat
         f"select '{t}' as table_name, count(*) as n_rows, {len(TABLE_COLUMNS[t])} as n_cols from t_{t}"
         for t in TABLE_COLUMNS))
     out["typed_csv_load"] = W(f"select {edge([o for o, _ in TABLE_COLUMNS['order_items']])} from t_order_items")
+    cols = [o for o, _ in TABLE_COLUMNS["order_items"]]
+    key = PRIMARY_KEYS["order_items"]
+    texts = {c: f"coalesce(cast({c} as varchar), '')" for c in cols}
+    texts["quantity"] = f"case when order_id % 97 = 0 then 'x' || {texts['quantity']} else {texts['quantity']} end"
+    texts[key] = f"case when order_id % 89 = 1 then '' else {texts[key]} end"
+    line = " || ',' || ".join(texts[c] for c in cols[:-1])
+    line = f"{line} || case when order_id % 83 = 2 then '' else ',' || {texts[cols[-1]]} end"
+    short, number, empty = "order_id % 83 = 2", "order_id % 97 = 0 and quantity is not null", "order_id % 89 = 1"
+    bad = lambda column, why, when: (
+        f"select {line} as line, 'order_items' as table_name, {column} as column_name, '{why}' as reason "
+        f"from t_order_items where {when}")
+    out["quarantined_rows"] = W(" union all ".join([
+        bad("cast(null as varchar)", "malformed", short),
+        bad("'quantity'", "bad_cast", f"{number} and not ({short})"),
+        bad(f"'{key}'", "null_in_not_null", f"{empty} and not ({short})")]))
+    out["quarantine_passed"] = W(f"select {edge(cols)} from t_order_items where not ({short}) "
+                                 f"and not ({number}) and not ({empty})")
     contract_parts = []
     for t, pairs in TABLE_COLUMNS.items():
         from shiprisk.schemas import TABLE_TYPES

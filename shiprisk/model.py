@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiprisk.functions.calendar import MONTH_NO
 from shiprisk.schemas import TABLE_COLUMNS
 
 # products.product_price clashes with order_items.product_price in the star.
@@ -71,7 +72,7 @@ def _star_from_flat(flat: DataFrame, wanted: set[str]) -> DataFrame:
                 continue
             seen.add(name)
             cols.append(F.col(src).alias(name))
-    return flat.select(*cols)
+    return flat.select(*cols, *[c for c in (MONTH_NO,) if c in flat.columns])
 
 
 def star_join(tables: SupplyTables, wanted: set[str] | None = None) -> DataFrame:

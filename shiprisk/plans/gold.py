@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiprisk import config
-from shiprisk.functions.calendar import before, month_label
+from shiprisk.functions.calendar import month_label, rows_before
 from shiprisk.functions.rounding import cents, money, ratio_round, rate_pct
 
 
@@ -54,7 +54,7 @@ def gold_monthly_revenue_by_market(flat: DataFrame, cutoff: str = config.DATA_CU
     from shiprisk.plans.reports import distinct_orders
 
     return (
-        flat.where(before("order_date", cutoff))
+        rows_before(flat, cutoff)
         .groupBy("market", month_label("order_date").alias("order_month"))
         .agg(distinct_orders(approx_rsd),
              money(F.sum("sales")).alias("revenue"),
@@ -65,7 +65,7 @@ def gold_monthly_revenue_by_market(flat: DataFrame, cutoff: str = config.DATA_CU
 def gold_category_profitability(flat: DataFrame, cutoff: str = config.DATA_CUTOFF) -> DataFrame:
     """GT3: category x department -> lines, revenue, profit, margin %."""
     return (
-        flat.where(before("order_date", cutoff))
+        rows_before(flat, cutoff)
         .groupBy("category_name", "department_name")
         .agg(F.count(F.lit(1)).alias("line_items"),
              F.sum(cents("sales")).alias("_rev_c"),

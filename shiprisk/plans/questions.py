@@ -1,9 +1,7 @@
-"""The assistant's sample questions as named, saved queries."""
+"""The saved question that is no report of its own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 
 from shiprisk.model import SupplyTables
@@ -13,25 +11,3 @@ from shiprisk.plans import reports
 def worst_on_time_category(t: SupplyTables) -> DataFrame:
     """The category (by name) with the highest late rate; ties by name."""
     return reports.top_k(reports.late_rate_by_category(t), 1, "late_rate_pct", ["category_name"])
-
-
-# FIXED VALUES: the sample questions offered by the original assistant.
-SAMPLE_QUESTIONS = [
-    "Which shipping mode has the highest late delivery rate?",
-    "What were total sales by month in 2017?",
-    "Which product category has the worst on-time delivery performance?",
-    "Which customer segment is most profitable?",
-    "How does discount rate relate to late delivery risk?",
-]
-
-
-def saved_questions(year: int = 2017) -> dict[str, Callable[[SupplyTables], DataFrame]]:
-    """Question text -> job over the six tables."""
-    jobs = [
-        reports.late_rate_by_mode,
-        lambda t: reports.monthly_sales_for_year(t, year),
-        worst_on_time_category,
-        reports.segment_profit_vs_late,
-        reports.discount_vs_late,
-    ]
-    return dict(zip(SAMPLE_QUESTIONS, jobs))

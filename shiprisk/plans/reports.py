@@ -9,12 +9,14 @@ on the group keys so results are deterministic.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiprisk import config
 from shiprisk.functions.buckets import discount_bucket
-from shiprisk.functions.calendar import before, month_label, weekday_name, year_range
+from shiprisk.functions.calendar import month_label, rows_before, rows_of_year, weekday_name
 from shiprisk.functions.rounding import cents, money, ratio_round, rate_pct
 from shiprisk.model import SupplyTables
 
@@ -91,7 +93,7 @@ def monthly_trend(t: SupplyTables, cutoff: str | None = None,
     """Distinct orders and revenue per calendar month."""
     df = t.star("orders", "order_items")
     if cutoff is not None:
-        df = df.where(before("order_date", cutoff))
+        df = rows_before(df, cutoff)
     return (
         df.groupBy(F.year("order_date").alias("order_year"),
                    F.month("order_date").alias("order_month"))
@@ -105,7 +107,7 @@ def segment_profit_vs_late(t: SupplyTables, cutoff: str | None = None) -> DataFr
     """Q5: profit, shipments and late rate per customer segment."""
     df = t.star("order_items", "orders", "customers", "shipments")
     if cutoff is not None:
-        df = df.where(before("order_date", cutoff))
+        df = rows_before(df, cutoff)
     return (
         df.groupBy("segment")
         .agg(money(F.sum("profit_per_order")).alias("total_profit"), *_late_counts())
@@ -132,7 +134,7 @@ def market_profit_vs_late(t: SupplyTables, cutoff: str | None = None) -> DataFra
     """Q7: profit and late rate per market."""
     df = t.star("order_items", "orders", "shipments")
     if cutoff is not None:
-        df = df.where(before("order_date", cutoff))
+        df = rows_before(df, cutoff)
     return (
         df.groupBy("market")
         .agg(money(F.sum("profit_per_order")).alias("total_profit"), *_late_counts())
@@ -162,7 +164,7 @@ def weekday_volume(t: SupplyTables, cutoff: str | None = None,
     """Q9: distinct orders and revenue per weekday name."""
     df = t.star("orders", "order_items")
     if cutoff is not None:
-        df = df.where(before("order_date", cutoff))
+        df = rows_before(df, cutoff)
     return (
         df.groupBy(weekday_name("order_date").alias("order_weekday"))
         .agg(distinct_orders(approx_rsd),
@@ -177,7 +179,7 @@ def top_products(t: SupplyTables, k: int = config.TOP_PRODUCTS,
     parts = ["order_items", "products", "shipments"] + (["orders"] if cutoff else [])
     df = t.star(*parts)
     if cutoff is not None:
-        df = df.where(before("order_date", cutoff))
+        df = rows_before(df, cutoff)
     agg = (
         df.groupBy("product_name")
         .agg(F.sum("sales").alias("_sales"), *_late_counts())
@@ -251,7 +253,7 @@ def mom_revenue_change(flat: DataFrame, cutoff: str = config.DATA_CUTOFF) -> Dat
     from pyspark.sql import Window
 
     monthly = (
-        flat.where(before("order_date", cutoff))
+        rows_before(flat, cutoff)
         .groupBy(month_label("order_date").alias("order_month"))
         .agg(F.sum(cents("sales")).alias("rev_c"))
     )
@@ -274,7 +276,7 @@ def mom_revenue_change(flat: DataFrame, cutoff: str = config.DATA_CUTOFF) -> Dat
 def monthly_revenue_before_cutoff(flat: DataFrame, cutoff: str = config.DATA_CUTOFF) -> DataFrame:
     """Revenue per month before the cutoff."""
     return (
-        flat.where(before("order_date", cutoff))
+        rows_before(flat, cutoff)
         .groupBy(month_label("order_date").alias("order_month"))
         .agg(money(F.sum("sales")).alias("revenue"))
     )
@@ -301,35 +303,76 @@ def category_rate_top15(flat: DataFrame, k: int = config.TOP_CATEGORIES) -> Data
     return top_k(with_overall, k, "total_shipments", ["category_name"])
 
 
+def co_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, n, mx, my, qx, qy, c) of every pair of columns i <= j, over the rows where both are known.
+
+    n rows, means, sums of squared deviations, sum of their products.  A task
+    keeps one such state for all pairs, centred on its own first values, and the
+    states (a row a task and pair) are merged by their means, so large means
+    don't cancel.  NaN counts as unknown.
+    """
+    k = len(columns)
+
+    def merged(n, m, q, c):
+        """States stacked along the first axis -> one state; m[i, j] is the mean of i where j is known."""
+        total = n.sum(axis=0)
+        some = np.maximum(total, 1)
+        mean = (n * m).sum(axis=0) / some
+        off = m - mean
+        other = off.swapaxes(-1, -2)
+        return total, mean, (q + n * off * off).sum(axis=0), (c + n * off * other).sum(axis=0)
+
+    def states(batches):
+        held = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            known = ~np.isnan(x)
+            if not len(x):
+                continue
+            first = x[known.argmax(axis=0), np.arange(k)]
+            first = np.where(np.isnan(first), 0.0, first)
+            z, seen = np.where(known, x - first, 0.0), known.astype(float)
+            n, s = seen.T @ seen, z.T @ seen
+            some = np.maximum(n, 1)
+            state = (n, first[:, None] + s / some, np.maximum((z * z).T @ seen - s * s / some, 0.0), z.T @ z - s * s.T / some)
+            held = state if held is None else merged(*(np.stack(p) for p in zip(held, state)))
+        if held is not None:
+            n, m, q, c = held
+            i, j = np.triu_indices(k)
+            yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "mx": m[i, j], "my": m[j, i], "qx": q[i, j],
+                                "qy": q[j, i], "c": c[i, j]})
+
+    fields = "n double, mx double, my double, qx double, qy double, c double"
+
+    def together(group: pd.DataFrame) -> pd.DataFrame:
+        n, total = group["n"], max(group["n"].sum(), 1.0)
+        dx, dy = (group[c] - (n * group[c]).sum() / total for c in ("mx", "my"))
+        return pd.DataFrame({"i": [group["i"].iat[0]], "j": [group["j"].iat[0]], "n": [n.sum()],
+                             "mx": [(n * group["mx"]).sum() / total], "my": [(n * group["my"]).sum() / total],
+                             "qx": [(group["qx"] + n * dx * dx).sum()], "qy": [(group["qy"] + n * dy * dy).sum()],
+                             "c": [(group["c"] + n * dx * dy).sum()]})
+
+    doubles = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = doubles.mapInPandas(states, f"i int, j int, {fields}")
+    return parts.groupBy("i", "j").applyInPandas(together, f"i int, j int, {fields}")
+
+
 def corr_matrix(flat: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of numeric columns, long form, 2 decimals.
 
-    One aggregate with centred moments per unordered pair, over the rows where
-    neither column is NULL; large means don't cancel.  The diagonal is 1; a
-    constant column gives NULL.
+    Over the rows where neither column is NULL.  The diagonal is 1; a constant
+    column gives NULL.
     """
-    from itertools import combinations
-
     from shiprisk.schemas import CORRELATION_COLUMNS
 
     cols = columns or CORRELATION_COLUMNS
-    casted = flat.select(*[F.col(c).cast("double").alias(c) for c in cols])
-
-    def pearson(a: str, b: str):
-        spread = (F.var_pop(F.when(F.col(b).isNotNull(), F.col(a)))
-                  * F.var_pop(F.when(F.col(a).isNotNull(), F.col(b))))
-        return F.when(spread > 0, F.covar_pop(a, b) / F.sqrt(spread))
-
-    found = casted.agg(
-        *[pearson(a, b).alias(f"{a}|{b}") for a, b in combinations(cols, 2)],
-        *[F.when(F.var_pop(c) > 0, F.lit(1.0)).alias(f"{c}|{c}") for c in cols])
-    cells = [F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
-                      F.col("|".join(sorted((a, b), key=cols.index))).alias("value"))
-             for a in cols for b in cols]
-    return (
-        found.select(F.explode(F.array(*cells)).alias("c"))
-        .select("c.column_x", "c.column_y", F.round("c.value", 2).alias("correlation"))
-    )
+    spread = F.col("qx") * F.col("qy")
+    value = F.when(spread > 0, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("c") / F.sqrt(spread)))
+    found = co_moments(flat, cols).select("i", "j", value.alias("value"))
+    cells = [(a, b, min(i, j), max(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    every = flat.sparkSession.createDataFrame(cells, "column_x string, column_y string, i int, j int")
+    return every.join(found, ["i", "j"], "left").select(
+        "column_x", "column_y", F.round("value", 2).alias("correlation"))
 
 
 def kpi_summary(flat: DataFrame) -> DataFrame:
@@ -413,8 +456,7 @@ def driver_spread(flat: DataFrame) -> DataFrame:
 def monthly_sales_for_year(t: SupplyTables, year: int) -> DataFrame:
     """Sales by month in one year (range filter, pushed down)."""
     return (
-        t.star("orders", "order_items")
-        .where(year_range("order_date", year))
+        rows_of_year(t.star("orders", "order_items"), year)
         .groupBy(F.month("order_date").alias("order_month"))
         .agg(F.countDistinct("order_id").alias("total_orders"),
              money(F.sum("sales")).alias("total_sales"))

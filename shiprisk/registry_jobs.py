@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiprisk.functions.calendar import MONTH_NO
 from shiprisk.model import SupplyTables
 from shiprisk.operators import audit, clean
 from shiprisk.operators.normalize import table_from_cleaned
@@ -125,7 +126,7 @@ def _dim(table: str):
 
 def profile_columns(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    return audit.profile_columns(silver.testbed_silver(s, d).flat)
+    return audit.profile_columns(silver.testbed_silver(s, d).flat.drop(MONTH_NO))
 
 
 def null_counts(s: SparkSession, d: str) -> DataFrame:
@@ -267,6 +268,31 @@ def typed_csv_load(s: SparkSession, d: str) -> DataFrame:
     return edge(csv_io.load_typed_csv(s, f"{root}/order_items", t.order_items.schema))
 
 
+def _broken_export(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Order items exported as text with a bad number, a missing key or a missing value in some lines, loaded checked."""
+    items = _rel(s, d).order_items
+    key = PRIMARY_KEYS["order_items"]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    broken = {"quantity": F.when(F.col("order_id") % 97 == 0, F.concat(F.lit("x"), text("quantity"))).otherwise(text("quantity")),
+              key: F.when(F.col("order_id") % 89 == 1, F.lit("")).otherwise(text(key))}
+    values = [broken.get(c, text(c)) for c in items.columns]
+    last = F.when(F.col("order_id") % 83 == 2, F.concat_ws(",", *values[:-1])).otherwise(F.concat_ws(",", *values))
+    root = work_dir(s, "broken")
+    items.select(last.alias("value")).write.text(f"{root}/text")
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.name != key) for f in items.schema.fields])
+    good, bad = csv_io.load_checked(s, f"{root}/text", "order_items", schema, f"{root}/checked", header=False)
+    return good, bad
+
+
+def quarantined_rows(s: SparkSession, d: str) -> DataFrame:
+    return _broken_export(s, d)[1]
+
+
+def quarantine_passed(s: SparkSession, d: str) -> DataFrame:
+    """The rows that pass the checked load, typed."""
+    return edge(_broken_export(s, d)[0])
+
+
 def contract_violations(s: SparkSession, d: str) -> DataFrame:
     """Six DDL contracts checked on the text of the raw rows, one pass."""
     bronze = _bronze_text(_raw(s, d))
@@ -291,6 +317,8 @@ def queries() -> dict:
         "save_table_roundtrip": save_table_roundtrip,
         "normalized_csv_export": normalized_csv_export,
         "typed_csv_load": typed_csv_load,
+        "quarantined_rows": quarantined_rows,
+        "quarantine_passed": quarantine_passed,
         "contract_violations": contract_violations,
         "table_history": table_history,
         "read_version": read_version,

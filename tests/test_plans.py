@@ -29,6 +29,33 @@ def test_cutoff_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(order_date), LessThan(order_date,2001-06-01T00:00)]" in p
 
 
+@pytest.mark.parametrize("name", ["monthly_trend_before_cutoff", "gold_monthly_revenue_by_market",
+                                  "gold_category_profitability", "mom_revenue_change", "monthly_sales_for_year"])
+def test_months_are_pruned(spark, name):
+    p = plan(Q[name](spark, SF))
+    assert "PartitionFilters: [isnotnull(order_month_no" in p
+
+
+def test_large_months_are_several_files(spark, tmp_root):
+    from pyspark.sql import functions as F
+
+    from shiprisk.functions.calendar import MONTH_NO
+    from shiprisk.sources import silver, testbed
+
+    flat = testbed.flat(spark, SF).withColumn("order_date", F.lit("1995-03-05").cast("timestamp_ntz"))
+    flat = flat.unionByName(testbed.flat(spark, SF).where("order_id % 50 = 0"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        silver.write_silver(flat, testbed.tables(spark, SF, with_flat=False), f"{tmp_root}/skewed", buckets=0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    written = spark.read.parquet(f"{tmp_root}/skewed/flat")
+    files = written.select(MONTH_NO, F.input_file_name().alias("f")).groupBy(MONTH_NO).agg(
+        F.countDistinct("f").alias("files"), F.count("*").alias("n"))
+    hot = files.orderBy(F.desc("n")).first()
+    assert hot[MONTH_NO] == 199503 and hot["files"] >= 4
+
+
 def test_top_k_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan(Q["top_products"](spark, SF))
 
