@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiprisk import config
+from shiprisk.session import work_dir
 from shiprisk.schemas import (
     INT_COLUMNS, KEY_COLUMNS, JUNK_COLUMNS, NULL_FILLS, NUMERIC_TYPES, PII_COLUMNS, TIMESTAMP_COLUMNS,
 )
@@ -97,23 +98,56 @@ def fill_nulls(df: DataFrame, fills: dict | None = None) -> DataFrame:
     return df.fillna(present) if present else df
 
 
+DIGEST = ["_digest_a", "_digest_b"]
+
+
+def row_digests(df: DataFrame) -> list[Column]:
+    """128 bits of a row: two 64-bit hashes of its columns, in either order."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(F.lit(0), *cols).alias(DIGEST[0]), F.xxhash64(F.lit(1), *cols[::-1]).alias(DIGEST[1])]
+
+
+def _repeated(df: DataFrame) -> tuple[DataFrame, DataFrame, Observation]:
+    """Rows with their digests, the digests that several rows have (written), and the counts seen on the way.
+
+    Only the digests are shuffled, after a partial aggregate.
+    """
+    marked = df.select("*", *row_digests(df))
+    seen = Observation()
+    per = marked.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("_n")).observe(
+        seen, F.sum("_n").alias("rows"), F.count_if(F.col("_n") == 1).alias("singles"))
+    path = work_dir(df.sparkSession, "repeated-digests")
+    per.where("_n > 1").select(*DIGEST, F.lit(True).alias("_again")).write.parquet(path)
+    return marked, df.sparkSession.read.parquet(path), seen
+
+
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    """Remove rows identical in every column (one hash aggregate)."""
-    return df.dropDuplicates()
+    """Remove rows identical in every column.
+
+    Whole rows are compared (and shuffled) only where a 128-bit digest occurs
+    twice; rows that merely share a digest are told apart there.  All others
+    pass as they are: they meet the table of repeated digests, which was written,
+    so the planner knows its size and sends it to the rows while it is small.
+    ``df`` is read three times, so it should be a written table.
+    """
+    marked, again, _ = _repeated(df)
+    once = marked.join(again, DIGEST, "left_anti").drop(*DIGEST)
+    several = marked.join(again, DIGEST).drop(*DIGEST, "_again").dropDuplicates()
+    return once.unionByName(several)
 
 
 def dedupe_report(before: DataFrame) -> DataFrame:
-    """Rows before/after exact-duplicate removal in one aggregate pass.
+    """Rows before and after exact-duplicate removal.
 
-    Groups identical rows once (partial aggregation on the map side), then
-    sums the group sizes: no second scan and nothing pulled to the driver.
+    Counts digests, then the distinct rows among those that share one.
     """
-    groups = before.groupBy(*[F.col(f"`{c}`") for c in before.columns]).agg(
-        F.count(F.lit(1)).alias("_n"))
-    return groups.agg(
-        F.sum("_n").cast("bigint").alias("rows_before"),
-        F.count(F.lit(1)).alias("rows_after"),
-    ).withColumn("duplicates_removed", F.col("rows_before") - F.col("rows_after"))
+    marked, again, seen = _repeated(before)
+    found = seen.get
+    rows, singles = int(found.get("rows") or 0), int(found.get("singles") or 0)
+    several = marked.join(again, DIGEST).drop(*DIGEST, "_again").dropDuplicates()
+    after = F.lit(singles).cast("bigint") + F.count(F.lit(1))
+    return several.agg(F.lit(rows).cast("bigint").alias("rows_before"), after.alias("rows_after"),
+                       (F.lit(rows).cast("bigint") - after).alias("duplicates_removed"))
 
 
 def add_delay_days(df: DataFrame) -> DataFrame:

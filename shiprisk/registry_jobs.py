@@ -37,7 +37,7 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
     apply_defaults(s)
-    return testbed.raw_rows(s, d)
+    return silver.testbed_bronze(s, d)
 
 
 def _bronze_text(df: DataFrame) -> DataFrame:

@@ -112,6 +112,19 @@ def read_silver(spark: SparkSession, layout: SilverLayout | str) -> SupplyTables
 _WRITTEN: dict[tuple[str, str], SupplyTables] = {}
 
 
+_BRONZE: dict[tuple[str, str], DataFrame] = {}
+
+
+def testbed_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows of ``sf_dir`` (typed, pending orders sent twice), written on first use in this application."""
+    key = (app_id(spark), os.path.abspath(sf_dir))
+    if key not in _BRONZE:
+        path = work_dir(spark, "bronze")
+        testbed.raw_rows(spark, sf_dir).write.parquet(path)
+        _BRONZE[key] = spark.read.parquet(path)
+    return _BRONZE[key]
+
+
 def build_testbed_silver(spark: SparkSession, sf_dir: str, root: str | None = None,
                          buckets: int | None = None) -> SilverLayout:
     """Map the driver's tables and write the silver layer (one job per table)."""

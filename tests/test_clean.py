@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
@@ -106,3 +107,24 @@ def test_cli_runs_medallion_on_a_raw_file(spark, tmp_root, capsys):
     for table in ["bronze_supply_chain", "silver_orders", "silver_order_headers",
                   "gold_shipping_risk", "gold_category_profitability"]:
         assert table in out
+
+
+def test_digest_collisions_are_told_apart(spark, monkeypatch):
+    """All rows share one digest: only whole rows decide, for the rows kept and for the counts."""
+    rows = [(1, "a", None), (1, "a", None), (1, None, "a"), (2, "b", "c"), (2, "b", "c"), (2, "b", "c"), (3, "", "")]
+    df = spark.createDataFrame(rows, "k int, v string, w string").repartition(3)
+    monkeypatch.setattr(clean, "row_digests", lambda d: [F.lit(1).cast("long").alias(c) for c in clean.DIGEST])
+    assert sorted(map(tuple, clean.drop_exact_duplicates(df).collect()), key=str) == sorted(set(rows), key=str)
+    assert tuple(clean.dedupe_report(df).first()) == (7, 4, 3)
+
+
+def test_duplicates_shuffle_digests_not_rows(spark):
+    rows = [(i % 5, "text " * 3, None if i % 2 else i) for i in range(40)] + [(9, "x", 1), (9, "x", 1), (None, None, None)]
+    df = spark.createDataFrame(rows, "k int, v string, w int")
+    out = clean.drop_exact_duplicates(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(set(rows), key=str) and out.columns == df.columns
+    assert tuple(clean.dedupe_report(df).first()) == (len(rows), len(set(rows)), len(rows) - len(set(rows)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "LeftAnti, BuildRight" in plan
+    empty = df.limit(0)
+    assert clean.drop_exact_duplicates(empty).count() == 0 and tuple(clean.dedupe_report(empty).first()) == (0, 0, 0)
