@@ -83,8 +83,8 @@ class ChunkEncoder:
     emptied when it is full, so memory stays bounded.
     """
 
-    def __init__(self, vocab: Vocabulary, encode_many: Callable[[list[str]], list[bytes]]):
-        self.vocab, self.encode_many = vocab, encode_many
+    def __init__(self, vocab: Vocabulary, encode_many: Callable[[list[str]], list[bytes]], bound: int | None = None):
+        self.vocab, self.encode_many, self.bound = vocab, encode_many, bound
         self.memo: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
@@ -98,7 +98,7 @@ class ChunkEncoder:
         return out + CHUNK.findall(text[at:])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_CHUNKS:
+        if len(self.memo) > (self.bound or MEMO_CHUNKS):
             self.memo.clear()
         memo = self.memo
         if not memo:

@@ -44,6 +44,8 @@ END_ID = 0
 SEGMENT_TOKENS = 1 << 18
 LEVELS = 4
 RANK_BITS = 512
+#: Chunks a worker remembers (some 150 MB).
+MEMO = 1_200_000
 
 SCHEMA = ("part int, within long, n_tokens long, doc_ids array<long>, ends array<long>, "
           + ", ".join(f"chunks{k} binary, bits{k} binary, ranks{k} binary" for k in range(LEVELS)))
@@ -133,7 +135,7 @@ def library_encoder(path: str) -> ChunkEncoder:
             out[c] = array("I", e.ids).tobytes()
         return [out[c] for c in chunks]
 
-    return ChunkEncoder(vocabulary(path), many)
+    return ChunkEncoder(vocabulary(path), many, MEMO)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = END_ID,
