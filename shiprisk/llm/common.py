@@ -73,7 +73,12 @@ def sample_place(key: Column) -> Column:
 
 
 def sampled(df: DataFrame, key: Column, bound: int, rows: int) -> DataFrame:
-    """About ``bound`` of ``rows`` rows (all, if there are fewer), however many share a key."""
+    """About ``bound`` of ``rows`` rows, chosen by a hash of ``key`` (all, if there are fewer).
+
+    The key alone decides, so the choice is made before any join that brings the texts.
+    """
     share = min(1.0, bound / max(rows, 1))
-    return df if share >= 1.0 else df.withColumn("sample_place", sample_place(key)).filter(
-        F.col("sample_place") < F.lit(share)).drop("sample_place")
+    if share >= 1.0:
+        return df
+    bits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10)
+    return df.filter(bits.cast("double") < F.lit(share * 2.0**32))
