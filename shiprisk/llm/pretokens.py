@@ -25,7 +25,8 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\
 CHUNK = re.compile(rf" ?[^\W_]+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\w{_WS}]+|_+)+"
                    rf"|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
-MEMO_CHUNKS = 500_000
+#: Every Python worker of an executor holds a memo, also while it waits for later stages.
+MEMO_CHUNKS = 150_000
 MEMO_CHARS = 64
 
 

@@ -77,6 +77,16 @@ def test_memo_stays_bounded(library, monkeypatch):
     assert len(tree.memo) < 50 + 400
 
 
+def test_a_full_memo_is_small_beside_an_executor():
+    """Every worker of an executor holds one, and keeps it while later stages run."""
+    tree = pretokens.ChunkEncoder(pretokens.vocabulary(PATH), lambda chunks: [b"abcd"] * len(chunks))
+    most = 0
+    for at in range(0, 300_000, 2_000):
+        tree.encode([" ".join(f"w{i}" for i in range(at, at + 2_000))])
+        most = max(most, len(tree.memo))
+    assert most <= 160_000
+
+
 def test_round_trip_query(spark, tmp_root, library):
     held = data.rows() + data.awkward()
     folder = data.save(spark, tmp_root, documents=data.documents(spark, held))
