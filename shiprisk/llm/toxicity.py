@@ -14,9 +14,16 @@ the text itself (never the lang column); a language with too few calibration
 rows uses the threshold of all.  score = sigmoid(logit - threshold), so 0.5 is
 the calibrated threshold everywhere.
 
-The classifier is fitted on a sample of at most about ``SAMPLE`` labelled rows
-of each class (a documented bound; whole texts); scoring is a Pandas UDF over
-every whole text, in pieces of bounded size that overlap by the filter width.
+The classifier learns from every labelled row, in Spark tasks.  The texts of the
+learning rows are packed (zlib), dealt by doc_id, joined with their labels and
+written once.  The class odds come from counts over all of them.  An epoch goes
+over the tasks at once: each starts from the same model, trains on its rows batch
+by batch and returns what it changed; the new model is the mean of the changes,
+of each embedding row over the tasks that changed it.  Thresholds come from counts
+of all calibration rows by logit, on a grid of 1/``GRID``.  The driver gets one
+model, one table of counts by bucket and one grid, whatever the number of rows.
+Scoring is a Pandas UDF over every whole text, in pieces of bounded size that
+overlap by the filter width.
 
 Defined results: a null or empty text is scored with all pooled values 0; labels
 that are null teach nothing; without labels of both classes every score is 0;
@@ -26,7 +33,9 @@ table gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -37,10 +46,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shiprisk.llm.common import fold, sampled, table
+from shiprisk.llm.common import fold, materialise, table
 
 FOLDS = 5
-SAMPLE = 2_500
 BUCKETS = 1 << 18
 DIM = 4
 PARTS = 4
@@ -52,6 +60,10 @@ RATE = 0.05
 DECAY = 1e-4
 CALIBRATION_FOLDS = 4
 LEAST_ROWS = 15
+#: Labels a partition of the learning rows is planned for.
+SHARD_ROWS = 8_192
+#: Logits are counted on steps of 1/GRID between -LIMIT and LIMIT.
+GRID, LIMIT = 1_024, 64
 PIECE_WORDS = 8_192
 
 # Frequent function words by language, to choose a threshold.
@@ -157,8 +169,8 @@ class Classifier:
             pieces, _ = words.pieces_of(ids)
             first = _starts(words.counts[ids])
             for k in range(2):
-                out[:, k * DIM:(k + 1) * DIM] = self.tables[k][words.word_buckets[k][ids]]
-                held = self.tables[2 + k][words.piece_buckets[k][pieces]]
+                out[:, k * DIM:(k + 1) * DIM] = np.take(self.tables[k], words.word_buckets[k][ids], axis=0)
+                held = np.take(self.tables[2 + k], words.piece_buckets[k][pieces], axis=0)
                 out[:, (2 + k) * DIM:(3 + k) * DIM] = np.add.reduceat(held, first)
         return out
 
@@ -183,7 +195,7 @@ class Classifier:
         starts = _starts(lengths)
         at = np.concatenate([np.arange(s, s + len(p)) for s, p in zip(starts, pieces)])
         x = np.zeros((int(lengths.sum()), PARTS * DIM), np.float32)
-        x[at] = vectors[np.concatenate(pieces)]
+        x[at] = np.take(vectors, np.concatenate(pieces), axis=0)
         return x, starts, at
 
     def pooled(self, vectors: np.ndarray, pieces: list[np.ndarray]) -> np.ndarray:
@@ -227,46 +239,84 @@ def languages(words: Words, functions: np.ndarray) -> np.ndarray:
     return out
 
 
-def _class_odds(words: Words, chosen: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Log odds of each bucket's presence, clipped, and small where the shares of the classes hardly differ."""
-    seen = np.zeros((PARTS, 2, BUCKETS))
+def _presence(words: Words, chosen: np.ndarray, y: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Texts of each class that have a bucket: kinds of parts x classes x buckets; added to ``seen``, if given."""
+    seen = np.zeros((PARTS, 2, BUCKETS), np.int64) if seen is None else seen
     for i in chosen:
         ids = np.unique(words.docs[i])
         pieces = words.pieces_of(ids)[0]
         for k in range(2):
             seen[k, y[i], np.unique(words.word_buckets[k][ids])] += 1
             seen[2 + k, y[i], np.unique(words.piece_buckets[k][pieces])] += 1
-    n1, n0 = max(1, int(y[chosen].sum())), max(1, int((1 - y[chosen]).sum()))
-    p0, p1 = (seen[:, 0] + 0.5) / (n0 + 1), (seen[:, 1] + 0.5) / (n1 + 1)
+    return seen
+
+
+def _class_odds(seen: np.ndarray, n0: int, n1: int) -> list[np.ndarray]:
+    """Log odds of each bucket's presence, clipped, and small where the shares of the classes hardly differ."""
+    p0, p1 = (seen[:, 0] + 0.5) / (max(1, n0) + 1), (seen[:, 1] + 0.5) / (max(1, n1) + 1)
     return list((np.clip(np.log(p1 / p0), -3, 3) / 3 * np.minimum(1, np.abs(p1 - p0) * 10)).astype(np.float32))
 
 
 class Trainer:
     """Adagrad on the logistic loss; only the words that won a pooling get a gradient."""
 
-    def __init__(self, words: Words, y: np.ndarray, chosen: np.ndarray, seed: int = 11):
-        self.rng = np.random.default_rng(seed)
-        self.words, self.y, self.chosen = words, y.astype(np.float32), chosen
-        self.model = Classifier.start(_class_odds(words, chosen, y), self.rng)
-        m = self.model
+    def __init__(self, seen: np.ndarray, n0: int, n1: int, seed: int = 11):
+        self.model = m = Classifier.start(_class_odds(seen, n0, n1), np.random.default_rng(seed))
         self.squares = {f"t{k}": np.full(BUCKETS, 1e-2, np.float32) for k in range(PARTS)}
         self.squares |= {"weights": np.full_like(m.weights, 1e-2), "bias": np.float32(1e-2)}
         for w in WIDTHS:
             self.squares[f"k{w}"] = np.full_like(m.kernels[w], 1e-2)
             self.squares[f"o{w}"] = np.full_like(m.offsets[w], 1e-2)
-        n1 = max(1, int(y[chosen].sum()))
-        self.class_weight = np.where(y == 1, np.clip((len(chosen) - n1) / n1, 0.2, 5.0), 1.0).astype(np.float32)
-
-    def fit(self, epochs: int = EPOCHS) -> Classifier:
-        usable = [i for i in self.chosen if len(self.words.docs[i])]
-        for _ in range(epochs):
-            order = self.rng.permutation(usable)
-            for at in range(0, len(order), BATCH):
-                self.step(order[at:at + BATCH])
-        return self.model
-
-    def step(self, batch: np.ndarray) -> None:
-        m, words = self.model, self.words
+        self.toxic_weight = float(np.clip(n0 / max(1, n1), 0.2, 5.0))
+
+    def epoch(self, words: Words, y: np.ndarray, chosen: np.ndarray, rng: np.random.Generator) -> None:
+        order = rng.permutation([i for i in chosen if len(words.docs[i])])
+        for at in range(0, len(order), BATCH):
+            self.step(words, y, order[at:at + BATCH])
+
+    def dense(self) -> np.ndarray:
+        """Values and squares (a column each) of all parameters but the embeddings."""
+        m, q = self.model, self.squares
+        held = [(m.weights, q["weights"]), (np.array([m.bias]), np.array([q["bias"]]))]
+        held += [(m.kernels[w], q[f"k{w}"]) for w in WIDTHS] + [(m.offsets[w], q[f"o{w}"]) for w in WIDTHS]
+        return np.concatenate([np.stack([v.ravel(), x.ravel()], axis=1) for v, x in held]).astype(np.float64)
+
+    def set_dense(self, held: np.ndarray) -> None:
+        m, q, at = self.model, self.squares, 0
+
+        def take(like: np.ndarray, column: int) -> np.ndarray:
+            return held[at:at + like.size, column].reshape(like.shape).astype(np.float32)
+
+        m.weights, q["weights"], at = take(m.weights, 0), take(m.weights, 1), at + m.weights.size
+        m.bias, q["bias"], at = float(held[at, 0]), np.float32(held[at, 1]), at + 1
+        for values, letter in ((m.kernels, "k"), (m.offsets, "o")):
+            for w in WIDTHS:
+                like = values[w]
+                values[w], q[f"{letter}{w}"] = take(like, 0), take(like, 1)
+                at += like.size
+
+    def changes(self, start: Trainer, rows: int) -> Iterator[pd.DataFrame]:
+        """What differs from ``start``, a row a bucket (parts 0 to 3) or dense parameter (part 4), as ``CHANGES``."""
+        for k in range(PARTS):
+            at = np.nonzero(self.squares[f"t{k}"] != start.squares[f"t{k}"])[0]
+            moved = np.concatenate([self.model.tables[k][at] - start.model.tables[k][at],
+                                    (self.squares[f"t{k}"][at] - start.squares[f"t{k}"][at])[:, None]], axis=1)
+            yield _change_rows(k, at, moved, rows)
+        moved = self.dense() - start.dense()
+        yield _change_rows(PARTS, np.arange(len(moved)), np.pad(moved, ((0, 0), (0, DIM - 1))), rows)
+
+    def moved(self, part: np.ndarray, at: np.ndarray, by: np.ndarray) -> None:
+        """Add mean changes."""
+        for k in range(PARTS):
+            own = part == k
+            self.model.tables[k][at[own]] += by[own, :DIM].astype(np.float32)
+            self.squares[f"t{k}"][at[own]] += by[own, DIM].astype(np.float32)
+        own, held = part == PARTS, self.dense()
+        held[at[own]] += by[own, :2]
+        self.set_dense(held)
+
+    def step(self, words: Words, y: np.ndarray, batch: np.ndarray) -> None:
+        m = self.model
         pieces = [words.docs[i] for i in batch]
         ids, local = np.unique(np.concatenate(pieces), return_inverse=True)
         local = np.split(local, np.cumsum([len(p) for p in pieces])[:-1])
@@ -284,7 +334,9 @@ class Trainer:
             at.append(np.minimum.reduceat(first, starts))
         pooled = np.maximum(np.concatenate(best, axis=1), 0)
         z = pooled @ m.weights + m.bias
-        error = (1 / (1 + np.exp(-z)) - self.y[batch]) * self.class_weight[batch] / len(batch)
+        toxic = y[batch].astype(np.float32)
+        weight = np.where(toxic == 1, np.float32(self.toxic_weight), np.float32(1))
+        error = (1 / (1 + np.exp(-z)) - toxic) * weight / len(batch)
         to_pool = error[:, None] * m.weights[None, :] * (pooled > 0)
         self._move("weights", m.weights, pooled.T @ error + DECAY * m.weights)
         m.bias -= RATE * float(error.sum()) / np.sqrt(self._square("bias", float(error.sum())))
@@ -326,56 +378,160 @@ class Trainer:
         value -= (RATE * gradient / np.sqrt(self._square(name, gradient))).astype(np.float32)
 
 
-def threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best balanced accuracy, in the middle of the widest best gap."""
+def _change_rows(part: int, at: np.ndarray, moved: np.ndarray, rows: int) -> pd.DataFrame:
+    out = pd.DataFrame(moved.astype(np.float64), columns=VALUES)
+    return out.assign(part=np.int32(part), at=at.astype(np.int32), rows=np.int64(rows))[["part", "at", *VALUES, "rows"]]
+
+
+VALUES = [f"v{i}" for i in range(DIM + 1)]
+CHANGES = "part int, at int, " + ", ".join(f"{v} double" for v in VALUES) + ", rows long"
+
+
+def threshold(z: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> float:
+    """The cut with the best balanced accuracy, in the middle of the widest best gap; each value counts ``times``."""
+    times = np.ones(len(z), np.int64) if times is None else times
     order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
-    below1 = np.concatenate([[0], np.cumsum(y)])
-    below0 = np.concatenate([[0], np.cumsum(1 - y)])
+    z, y, times = z[order], y[order], times[order]
+    ones, zeros = y * times, (1 - y) * times
+    n1, n0 = max(1, ones.sum()), max(1, zeros.sum())
+    below1 = np.concatenate([[0], np.cumsum(ones)])
+    below0 = np.concatenate([[0], np.cumsum(zeros)])
     quality = below0 / n0 + (n1 - below1) / n1
     edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
     gap = edges[1:] - edges[:-1]
+    # Between equal logits there is no cut.
+    quality[1:-1][gap[1:-1] == 0] = -1
     best = np.nonzero(quality >= quality.max() - 1e-12)[0]
     k = best[np.argmax(gap[best])]
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def calibrate(model: Classifier, words: Words, y: np.ndarray, chosen: np.ndarray, functions: np.ndarray) -> None:
-    z, lang, y = model.logits(words)[chosen], languages(words, functions)[chosen], y[chosen]
-    if not 0 < y.sum() < len(y):
+def calibrate(model: Classifier, z: np.ndarray, lang: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
+    """Thresholds from logits, languages and classes, each row standing for ``times`` texts."""
+    n1, n0 = (y * times).sum(), ((1 - y) * times).sum()
+    if not (n1 and n0):
         return
-    model.thresholds[:] = threshold(z, y)
+    model.thresholds[:] = threshold(z, y, times)
     for k in range(len(LANGUAGES)):
         own = lang == k
-        if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST_ROWS:
-            model.thresholds[k] = threshold(z[own], y[own])
+        if min((y * times)[own].sum(), ((1 - y) * times)[own].sum()) >= LEAST_ROWS:
+            model.thresholds[k] = threshold(z[own], y[own], times[own])
 
 
 def fit(texts: list[str | None], y: np.ndarray, late: np.ndarray) -> Classifier:
-    """Train on the texts that aren't ``late``, calibrate on those that are."""
+    """Train on the texts that aren't ``late``, calibrate on those that are; what ``train`` does, in one task."""
     words = Words([word_list(t) for t in texts])
     if not 0 < y[~late].sum() < (~late).sum():
         late = np.zeros(len(y), bool)
-    model = Trainer(words, y, np.nonzero(~late)[0]).fit()
-    calibrate(model, words, y, np.nonzero(late)[0], _function_table())
-    return model
+    chosen = np.nonzero(~late)[0]
+    n1 = int(y[chosen].sum())
+    trainer = Trainer(_presence(words, chosen, y), len(chosen) - n1, n1)
+    rng = np.random.default_rng(11)
+    for _ in range(EPOCHS):
+        trainer.epoch(words, y, chosen, rng)
+    z = trainer.model.logits(words)
+    calibrate(trainer.model, z[late], languages(words, _function_table())[late], y[late], np.ones(late.sum(), np.int64))
+    return trainer.model
+
+
+def packed_udf():
+    """Texts as zlib binaries, a third of their size."""
+
+    @pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else zlib.compress(t.encode("utf-8", "replace"), 1) for t in texts])
+
+    return of
 
 
-def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Classifier | None:
-    """(key, text, toxic) rows -> classifier, None without rows of both classes.
+def _words(batch: pd.DataFrame) -> tuple[Words, np.ndarray]:
+    texts = ["" if b is None else zlib.decompress(b).decode("utf-8", "replace") for b in batch["packed"]]
+    return Words([word_list(t) for t in texts]), batch["toxic"].to_numpy(np.int64)
 
-    About ``sample`` rows of each class come to the driver.
-    """
-    labelled = labelled.filter("toxic in (0, 1)")
-    per = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(per) < 2:
+
+def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(packed, toxic, late) of every labelled document, written once.  Both sides are dealt by doc_id and not shuffled again."""
+    labels = labels.filter("toxic in (0, 1) and doc_id is not null")
+    shards = max(1, -(-labels.count() // SHARD_ROWS))
+    texts = docs.filter("doc_id is not null").select("doc_id", packed_udf()("text").alias("packed")).repartition(shards, "doc_id")
+    late = fold(F.concat_ws(":", F.lit("calibrate"), F.col("doc_id").cast("string")), CALIBRATION_FOLDS) == 0
+    joined = texts.join(labels.repartition(shards, "doc_id"), "doc_id")
+    return materialise(joined.select("packed", F.col("toxic").cast("int").alias("toxic"), late.alias("late")), "toxicity-rows")
+
+
+def _counted(rows: DataFrame) -> np.ndarray:
+    """``_presence`` over all rows."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((PARTS, 2, BUCKETS), np.int64)
+        for batch in batches:
+            words, y = _words(batch)
+            _presence(words, np.arange(len(y)), y, seen)
+        for k in range(PARTS):
+            at = np.nonzero(seen[k].any(axis=0))[0]
+            yield pd.DataFrame({"part": np.full(len(at), k, np.int32), "at": at.astype(np.int32),
+                                "n0": seen[k, 0, at], "n1": seen[k, 1, at]})
+
+    found = rows.mapInPandas(of, "part int, at int, n0 long, n1 long").groupBy("part", "at").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most PARTS x BUCKETS rows
+    part, at, n0, n1 = (found[c].to_numpy() for c in ("part", "at", "n0", "n1"))
+    seen = np.zeros((PARTS, 2, BUCKETS), np.int64)
+    seen[part, 0, at], seen[part, 1, at] = n0, n1
+    return seen
+
+
+def _epoch(rows: DataFrame, trainer: Trainer, number: int) -> None:
+    """One pass over all rows: tasks train on their own from the same start, and their changes are averaged."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, n = deepcopy(trainer), 0
+        rng = np.random.default_rng([11, number])
+        for batch in batches:
+            words, y = _words(batch)
+            own.epoch(words, y, np.arange(len(y)), rng)
+            n += len(y)
+        if n:
+            yield from own.changes(trainer, n)
+
+    moved = rows.mapInPandas(learn, CHANGES).groupBy("part", "at").agg(
+        *[(F.sum(F.col(v) * F.col("rows")) / F.sum("rows")).alias(v) for v in VALUES]).toArrow()  # one model
+    trainer.moved(moved["part"].to_numpy(), moved["at"].to_numpy(), np.stack([moved[v].to_numpy() for v in VALUES], axis=1))
+
+
+def _calibrated(rows: DataFrame, model: Classifier) -> None:
+    """Thresholds from the logits of all rows, counted on a grid."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        functions = _function_table()
+        for batch in batches:
+            words, y = _words(batch)
+            z = np.clip(model.logits(words).astype(np.float64), -LIMIT, LIMIT)
+            yield pd.DataFrame({"lang": languages(words, functions).astype(np.int32), "toxic": y.astype(np.int32),
+                                "step": np.round(z * GRID).astype(np.int32)})
+
+    found = rows.mapInPandas(of, "lang int, toxic int, step int").groupBy("lang", "toxic", "step").agg(
+        F.count(F.lit(1)).alias("n")).toArrow()  # bounded by the grid
+    if found.num_rows:
+        lang, y, step, n = (found[c].to_numpy() for c in ("lang", "toxic", "step", "n"))
+        calibrate(model, step / GRID, lang, y.astype(np.int64), n)
+
+
+def train(rows: DataFrame) -> Classifier | None:
+    """(packed, toxic, late) rows -> classifier, None without rows of both classes."""
+    per = {(r["toxic"], r["late"]): r["n"] for r in rows.groupBy("toxic", "late").agg(F.count("*").alias("n")).collect()}
+    if len({toxic for toxic, _ in per}) < 2:
         return None
-    parts = [sampled(labelled.filter(F.col("toxic") == c), F.col("key"), sample, n) for c, n in sorted(per.items())]
-    late = fold(F.concat_ws(":", F.lit("calibrate"), F.col("key").cast("string")), CALIBRATION_FOLDS) == 0
-    rows = parts[0].union(parts[1]).select("key", "text", F.col("toxic").cast("int").alias("toxic"), late.alias("late"))
-    rows = rows.toPandas().sort_values(["key", "toxic", "text"], kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(), rows["late"].to_numpy(bool))
+    n0, n1 = per.get((0, False), 0), per.get((1, False), 0)
+    apart = bool(n0 and n1)
+    if not apart:
+        n0, n1 = (sum(n for (toxic, _), n in per.items() if toxic == c) for c in (0, 1))
+    early = rows.filter(~F.col("late")) if apart else rows
+    trainer = Trainer(_counted(early), n0, n1)
+    for number in range(EPOCHS):
+        _epoch(early, trainer, number)
+    if apart:
+        _calibrated(rows.filter("late"), trainer.model)
+    return trainer.model
 
 
 def score(text: Column, model: Classifier | None) -> Column:
@@ -395,7 +551,7 @@ def score(text: Column, model: Classifier | None) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", fold(F.col("doc_id"), FOLDS) == 0)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null")
-    learn = docs.filter(~F.col("held_out")).join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
-    scored = docs.select("doc_id", "held_out", score(F.col("text"), train(learn)).alias("score"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(learning_rows(docs.filter(~F.col("held_out")), labels))
+    scored = docs.select("doc_id", "held_out", score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

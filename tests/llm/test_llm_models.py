@@ -125,6 +125,42 @@ def test_toxicity_held_out(spark, tmp_root):
     assert len(same) == 1
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_root, monkeypatch):
+    """6,000 clean rows and one marker word in the toxic ones, in several shards: every row is counted and trained on."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2_000)
+    n = 6_000
+    docs = [(i, f"alpha beta w{i} " + ("zork" if i % 20 == 0 else "gamma"), "en", "s", 9) for i in range(n)]
+    docs = spark.createDataFrame(docs, data.SCHEMA).repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(n)], "doc_id long, toxic int")
+    rows = toxicity.learning_rows(docs, labels)
+    assert rows.count() == n
+    seen = toxicity._counted(rows)
+    assert seen[0, 0].max() == n - n // 20 and seen[0, 1].max() == n // 20
+    model = toxicity.train(rows)
+    got = {(r.toxic, r.score >= 0.5) for r in docs.join(labels, "doc_id").select(
+        "toxic", toxicity.score(docs["text"], model).alias("score")).collect()}
+    assert got == {(0, False), (1, True)}
+
+
+def test_mean_of_equal_changes_is_the_change():
+    """Tasks that change the same make the model that one of them makes alone."""
+    docs, labels = toxic_rows(60)
+    words, y = toxicity.Words([toxicity.word_list(d[1]) for d in docs]), np.array([t for _, t in labels])
+    every = np.arange(len(y))
+    start = toxicity.Trainer(toxicity._presence(words, every, y), int((1 - y).sum()), int(y.sum()))
+    own, other = toxicity.deepcopy(start), toxicity.deepcopy(start)
+    own.epoch(words, y, every, np.random.default_rng(1))
+    for c in own.changes(start, 7):
+        other.moved(c["part"].to_numpy(), c["at"].to_numpy(), c[toxicity.VALUES].to_numpy())
+    assert np.allclose(own.dense(), other.dense(), atol=1e-5)
+    assert np.allclose(own.model.logits(words), other.model.logits(words), atol=1e-4)
+
+
+def test_threshold_counts_repeated_values():
+    z, y = np.array([0.0, 1.0, 1.0, 6.0]), np.array([0, 0, 1, 1])
+    assert toxicity.threshold(z, y, np.array([5, 100, 1, 9])) == 3.5
+
+
 def test_scores_do_not_depend_on_batches_or_pieces(monkeypatch):
     docs, labels = toxic_rows(200)
     y = np.array([t for _, t in labels])
