@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 RUN = "run_id"
 OPERATION, WRITTEN_AT = "run_operation", "run_written_at"
+# Tables and runs are written once and kept.
+CODEC = "zstd"
 
 
 def save_table(df: DataFrame, name: str, path: str | None = None) -> int:
     """S3: replace table ``name`` (managed, or external at ``path``); returns the rows written."""
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").format("parquet")
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").format("parquet").option("compression", CODEC)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
@@ -75,7 +77,8 @@ def save_run(df: DataFrame, root: str, run_id: int | None = None, operation: str
     stamped = df.withColumns({OPERATION: F.lit(operation), WRITTEN_AT: F.current_timestamp().cast("timestamp_ntz"),
                               RUN: F.lit(run_id).cast("bigint")})
     # Only the partitions written are replaced, and they appear when the job commits.
-    stamped.write.partitionBy(RUN).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+    stamped.write.partitionBy(RUN).mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "compression", CODEC).parquet(root)
     return run_id
 
 

@@ -85,7 +85,7 @@ def run_gold_refresh(spark: SparkSession, raw_path: str, root: str, checkpoint:
         fresh = clean.add_delay_days(new_rows(batch, before("digests", batch_id)))
         # One pass over the batch: each new row with its key and what it adds.
         staged = f"{root}/fresh/{tables.RUN}={batch_id}"
-        fresh.select("digest", *RISK_INPUTS).write.mode("overwrite").parquet(staged)
+        fresh.select("digest", *RISK_INPUTS).write.mode("overwrite").option("compression", tables.CODEC).parquet(staged)
         fresh = spark.read.parquet(staged)
         tables.save_run(fresh.select("digest"), f"{root}/digests", batch_id, replace=True)
         tables.save_run(risk_partials(fresh), f"{root}/partials", batch_id, replace=True)

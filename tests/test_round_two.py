@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,16 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_root(Session())
+
+
+def test_tables_and_runs_are_written_compactly(spark, tmp_root):
+    """Bronze, silver and gold tables of a refresh are kept, so they are compressed well (zstd)."""
+    from shiprisk.session import local_path
+    from shiprisk.sources import tables
+
+    rows = spark.range(50).withColumnRenamed("id", "n")
+    tables.save_table(rows, "compact_table", f"{tmp_root}/table")
+    tables.save_run(rows, f"{tmp_root}/runs")
+    files = [f for d in ("table", "runs/run_id=0") for f in os.listdir(local_path(f"{tmp_root}/{d}")) if f.endswith(".parquet")]
+    assert files and all(".zstd." in f for f in files)
+    assert spark.table("compact_table").count() == 50 and tables.read_run(spark, f"{tmp_root}/runs").count() == 50
