@@ -5,8 +5,8 @@
   partial per task, then added up (one number per pair of features); the
   Newton step from them bounds how far the coefficients are from the optimum.
 * ``node_table``: a saved forest as rows (tree, node, test, children, counts).
-* ``route``: rows go down all trees level by level, a join with the node table
-  per level; the leaves' class shares average to the score.
+* ``route``: every task takes its rows down all trees, level by level, by lookups in
+  the node table; the leaves' class shares average to the score.
 * ``importance_from_nodes``: impurity gains times rows, by feature, per tree, summed.
 """
 
@@ -96,23 +96,79 @@ def _slots(encoder: PipelineModel) -> list[tuple[str, str | None]]:
     return out
 
 
+class Forest:
+    """The node table as arrays, in the order (tree, node), and the feature slots that its tests name.
+
+    It holds what the fitted model holds on the driver, so its size goes with the
+    trees, not with the rows.  A leaf's children are the leaf itself.
+    """
+
+    def __init__(self, nodes: DataFrame):
+        names = ["tree", "node", "column", "level", "threshold", "values", "left", "right", "late_share"]
+        table = nodes.select(*names).toArrow().combine_chunks()
+        number = lambda c: table[c].fill_null(-1).to_numpy().astype(np.int64)
+        key = (number("tree") << 32) + number("node")
+        order = np.argsort(key)
+        key, table = key[order], table.take(order)
+        tests = list(zip(table["column"].to_pylist(), table["level"].to_pylist()))
+        inner = np.array([c is not None for c, _ in tests], bool)
+
+        def child(side: str) -> np.ndarray:
+            wanted = np.where(inner, (number("tree") << 32) + number(side), key)
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            if (key[at] != wanted).any():
+                raise ValueError(f"the node table lacks a {side} child")
+            return at.astype(np.int32)
+
+        self.left, self.right = child("left"), child("right")
+        self.roots = np.searchsorted(key, np.unique(number("tree")) << 32).astype(np.int32)
+        self.slots = sorted({t for t in tests if t[0] is not None}, key=lambda t: (t[0], t[1] or ""))
+        at_slot = {t: i for i, t in enumerate(self.slots)}
+        self.slot = np.array([at_slot.get(t, 0) for t in tests], np.int32)
+        self.threshold = table["threshold"].fill_null(np.nan).to_numpy()
+        listed = [(i, int(v)) for i, values in enumerate(table["values"].to_pylist()) for v in values or []]
+        self.listed = np.array([v is not None for v in table["values"].to_pylist()], bool)
+        self.member = np.zeros((len(key), 1 + max((v for _, v in listed), default=0)), bool)  # classes that go left
+        for i, v in listed:
+            self.member[i, v] = True
+        self.share = table["late_share"].to_numpy()
+
+    def values(self, rows: pd.DataFrame) -> np.ndarray:
+        """Each slot's value in every row; NaN where the column is null."""
+        out = np.empty((max(len(self.slots), 1), len(rows)))
+        for i, (column, level) in enumerate(self.slots):
+            if level is None:
+                out[i] = rows[column].to_numpy(float, na_value=np.nan)
+            else:
+                out[i] = np.where(rows[column].isna(), np.nan, rows[column] == level)
+        return out
+
+    def scores(self, rows: pd.DataFrame, depth: int) -> np.ndarray:
+        x, every, total = self.values(rows), np.arange(len(rows)), np.zeros(len(rows))
+        for root in self.roots:
+            at = np.full(len(rows), root, np.int32)
+            for _ in range(depth):
+                value = x[self.slot[at], every]
+                left = value <= self.threshold[at]
+                listed = np.flatnonzero(self.listed[at] & (value >= 0) & (value < self.member.shape[1]))
+                left[listed] = self.member[at[listed], value[listed].astype(int)]
+                at = np.where(left, self.left[at], self.right[at])
+            total += self.share[at]
+        return total / len(self.roots)
+
+
 def route(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """ID and score of raw feature rows: all trees at once, one join with the node table a level."""
-    trees = [r.tree for r in nodes.select("tree").distinct().orderBy("tree").collect()]  # a number a tree
+    """ID and score of raw feature rows; no row is copied per tree or shuffled on its way down."""
     inputs = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
-    at = rows.select(ID, *inputs, F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree"), F.lit(0).alias("node"))
-    tests = nodes.where("column is not null").select(
-        "tree", "node", "column", "level", "threshold", "values", "left", "right")
-    for _ in range(depth):
-        value = F.coalesce(
-            *[F.when(F.col("column") == c, F.col(c).cast("double")) for c in NUMERIC_FEATURES],
-            *[F.when(F.col("column") == c, (F.col(c) == F.col("level")).cast("double")) for c in CATEGORICAL_FEATURES])
-        step = F.when(F.col("column").isNull(), F.col("node")).when(
-            F.when(F.col("values").isNull(), value <= F.col("threshold")).otherwise(F.array_contains("values", value)),
-            F.col("left")).otherwise(F.col("right"))
-        at = at.join(tests, ["tree", "node"], "left").select(ID, *inputs, "tree", step.alias("node"))
-    leaves = at.join(nodes.select("tree", "node", "late_share"), ["tree", "node"])
-    return leaves.groupBy(ID).agg((F.sum("late_share") / len(trees)).alias("score"))
+    forest = rows.sparkSession.sparkContext.broadcast(Forest(nodes))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({ID: batch[ID], "score": forest.value.scores(batch, depth)})
+
+    kind = rows.schema[ID].dataType.simpleString()
+    return rows.select(ID, *inputs).mapInPandas(walk, f"{ID} {kind}, score double").groupBy(ID).agg(
+        F.sum("score").alias("score"))
 
 
 def rescored(model: PipelineModel, nodes: DataFrame, rows: DataFrame) -> DataFrame:
