@@ -57,7 +57,9 @@ def run_medallion(spark: SparkSession, raw_path: str, root: str, cutoff: str = c
         return name, run, tables.read_run(spark, f"{root}/{name}", run).count()  # footers of a small table
 
     written = [save(clean.snake_case_columns(csv_io.read_raw_csv(spark, raw_path, encoding)), BRONZE)]
-    written.append(save(clean.clean(tables.read_table(spark, BRONZE), types, timestamps), CLEANED))
+    # Typing the text costs more than shuffling the typed rows, so these are made once.
+    cleaned = clean.clean(tables.read_table(spark, BRONZE), types, timestamps, digests_first=False)
+    written.append(save(cleaned, CLEANED))
     frames = normalize(tables.read_table(spark, CLEANED))
     silver = [(FLAT, frames.flat)] + [(SILVER_NAMES[name], df) for name, df in frames.as_dict().items()]
     written += _together([lambda n=n, d=d: save(d, n) for n, d in silver], concurrency)
