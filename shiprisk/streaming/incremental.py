@@ -27,6 +27,7 @@ from shiprisk import config
 from shiprisk.operators import clean
 from shiprisk.plans.gold import risk_partials, risk_rates
 from shiprisk.schemas import RAW_HEADERS
+from shiprisk.session import parallelism
 from shiprisk.sources import tables
 
 # Columns of the flat table that the gold table is made of.
@@ -75,7 +76,9 @@ def run_gold_refresh(spark: SparkSession, raw_path: str, root: str, checkpoint:
 
     Versions are runs under ``root/table``; returns their number.
     """
-    rows = typed_rows(read_raw_stream(spark, raw_path, files_per_trigger), types, timestamps)
+    # A compressed file is read by one task, so the few files of a batch are dealt to all before their rows are typed.
+    text = read_raw_stream(spark, raw_path, files_per_trigger).repartition(parallelism(spark), "order_item_id")
+    rows = typed_rows(text, types, timestamps)
 
     def before(name: str, batch_id: int) -> DataFrame | None:
         held = tables.runs(spark, f"{root}/{name}")
